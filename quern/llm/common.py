@@ -38,12 +38,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind ``df`` by the optimizer's estimate; used to size exchanges only."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(stats))
-
-
 def pieces(n_bytes: int, each: int, least: int = 1, most: int = 1 << 20) -> int:
     return int(min(most, max(least, -(-n_bytes // each))))
 
@@ -159,3 +153,20 @@ def unsix(b: np.ndarray) -> np.ndarray:
     out = np.zeros((len(b) // 6, 8), np.uint8)
     out[:, :6] = b.reshape(-1, 6)
     return out.reshape(-1).view("<u8")
+
+
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts; it sizes exchanges and decides nothing else."""
+    return int(df.agg(F.sum(F.octet_length(df[column]).cast("long"))).first()[0] or 0)
+
+
+def bits_for(n_bytes: int, each: int, most: int = 20) -> int:
+    """Bits of a bucket number so that a bucket holds about ``each`` bytes."""
+    return min(most, max(0, (-(-n_bytes // each) - 1).bit_length()))
+
+
+def binary_rows(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column over one byte array, cut by sizes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    return values.cast(pa.binary())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, cut, drop_ids, input_bytes, mix, pieces, table
+from .common import BROADCAST_IDS, cut, drop_ids, pieces, table, text_bytes
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -185,7 +185,7 @@ def suspected(rows: DataFrame) -> DataFrame:
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, duplicate_of``: every copy with the smallest ``doc_id`` that has exactly its text."""
-    shards = pieces(input_bytes(docs), SHARD_BYTES)
+    shards = pieces(text_bytes(docs), SHARD_BYTES)
     hits = cut(suspected(digests(docs, shards)))
     few = F.broadcast if hits.count() <= BROADCAST_IDS else (lambda x: x)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))

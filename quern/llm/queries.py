@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding, token_counts
+from . import exact_dedup, ngram_jaccard, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": ngram_jaccard.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op8_sharding": sharding.SQL,
 }
