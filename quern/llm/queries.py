@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_jaccard, sharding, token_counts
+from . import decontamination, exact_dedup, ngram_jaccard, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
