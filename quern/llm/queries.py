@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, ngram_jaccard, quality, sharding, token_counts
+from . import bpe, decontamination, exact_dedup, line_dedup, ngram_jaccard, quality, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": quality.op7_quality,
     "op8_sharding": sharding.op8_sharding,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": ngram_jaccard.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op5_line_dedup": line_dedup.SQL,
     "op8_sharding": sharding.SQL,
 }
