@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, line_dedup, ngram_jaccard, quality, sharding, token_counts
+from . import bpe, decontamination, exact_dedup, html_extraction, line_dedup, ngram_jaccard, quality, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": decontamination.op2_decontamination,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": bpe.op6_bpe,
     "op7_quality": quality.op7_quality,
     "op8_sharding": sharding.op8_sharding,
+    "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
