@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, html_extraction, line_dedup, ngram_jaccard, quality, sharding, token_counts
+from . import bpe, decontamination, exact_dedup, html_extraction, line_dedup, ngram_jaccard, quality, sharding, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_ngram_jaccard": ngram_jaccard.op3_ngram_jaccard,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
