@@ -6,6 +6,7 @@ plus the offsets of every document. No loop runs over words.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterator
@@ -18,6 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # not glibc
+    _LIBC = None
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
@@ -113,6 +118,13 @@ def words(texts: pa.Array, lower: bool) -> tuple[list[str], np.ndarray, np.ndarr
     return distinct, codes, offsets
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that a reused worker stays small."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal keys."""
     if not len(sorted_keys):
