@@ -507,10 +507,10 @@ def reindex(spark, sf):
 
 
 # -- highlighting ------------------------------------------------------------
-@query("""SELECT doc_id, CAST(i AS INTEGER) AS start FROM (SELECT doc_id, lower(text) AS t, unnest(range(0, length(text) - 3)) AS i FROM documents WHERE n_chars < 3000) WHERE substr(t, CAST(i AS INT) + 1, 4) = 'erin'""")
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS start FROM (SELECT doc_id, lower(text) AS t, unnest(range(0, length(text) - 3)) AS i FROM documents) WHERE substr(t, CAST(i AS INT) + 1, 4) = 'erin'""")
 def highlight_positions(spark, sf):
-    docs = _t(spark, sf, "documents").filter("n_chars < 3000")
-    return docs.select("doc_id", F.explode(highlight.positions(F.col("text"), "erin")).alias("p")).select("doc_id", F.col("p.start").alias("start"))
+    docs = _t(spark, sf, "documents").select("doc_id", highlight.positions_py("erin")(F.col("text")).alias("m"))
+    return docs.select("doc_id", F.explode("m").alias("p")).select("doc_id", F.col("p.start").alias("start"))
 
 
 @query("""WITH m AS (SELECT doc_id, text, strpos(lower(text), 'erin') - 1 AS s, length(text) AS n FROM documents), c AS (SELECT *, (s + s + 4) // 2 - 30 AS a FROM m), e AS (
