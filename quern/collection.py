@@ -267,6 +267,9 @@ class Collection:
         hits = shape.page(ordered, self.docs, order, limit, offset)
         out = SearchResult(hits, scored.agg(F.count("*").alias("count")))
         if facets:
+            for p in facets:
+                if not self.schema.has(p):
+                    raise QueryError(f"unknown facet {p!r}")
             roots = list(dict.fromkeys(p.split(".")[0] for p in facets))
             matched = scored.select("doc_ord").join(self.docs.select("doc_ord", *roots), "doc_ord")
             out.facets = shape.facets(matched, self.schema, dict(facets))
