@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
@@ -12,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from .stemming import STEMMED, stem_array
+from .stemming import STEMMED, stem_array, stem_english
 
 ALIASES = {"en": "english", "de": "german", "fr": "french", "fi": "finnish", "it": "italian", "nl": "dutch", "no": "norwegian", "pt": "portuguese", "ru": "russian", "es": "spanish", "sv": "swedish"}
 
@@ -170,8 +171,16 @@ class Tokenizer:
         return F.when(text.isNotNull(), tokens)
 
     def tokenize(self, spark, text: str, prop: str | None = None) -> list[str]:
-        """Tokens of one string, by the same expression as the documents'."""
-        return spark.range(1).select(self.column(F.lit(text), prop).alias("t")).first()[0]
+        """Tokens of one string, as :meth:`column` gives them. Only user functions need a Spark job for it."""
+        if not self.portable:
+            return spark.range(1).select(self.column(F.lit(text), prop).alias("t")).first()[0]
+        raw = [text] if prop is not None and prop in self.skip else [t for t in re.split(splitter(self.language).removeprefix("(?i)"), text.lower()) if t]
+        stop = self.stop_words or ()
+        tokens = [t for t in raw if t not in stop]
+        if self.stemming and self.language in STEMMED and (prop is None or prop not in self.stem_skip):
+            tokens = [stem_english(t) for t in tokens]
+        tokens = [t for t in map(replace_diacritics_py, tokens) if t]
+        return tokens if self.allow_duplicates else list(dict.fromkeys(tokens))
 
 
 def within(term: Column, word: Column, tolerance: int) -> Column:

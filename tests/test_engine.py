@@ -72,6 +72,17 @@ def test_tokenizer(spark):
     assert replace_diacritics_py("Łódź × ÷ ß") == "Lodz × ÷ s"
 
 
+def test_tokenizers_agree(spark):
+    """The driver's tokenizer and the column give the same tokens."""
+    texts = ["", "  ", "The Quick-brown fox's naïve Café_au lait 12,5", "Straße ÄÖÜ über", "Ёлка і їжак Привет", "Ελλάδα ώρα", "Łódź ŞIŞLI ığüş", "the the The", "नेपाली भाषा تجربة"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    kinds = [Tokenizer(x) for x in LANGUAGES] + [Tokenizer(use_default_stop_words=True, stemming=True), Tokenizer(allow_duplicates=True), Tokenizer("de", words=("über",))]
+    rows = df.select("k", "t", *(t.column(F.col("t")).alias(f"c{n}") for n, t in enumerate(kinds))).collect()
+    for r in rows:
+        for n, t in enumerate(kinds):
+            assert t.tokenize(spark, r["t"]) == r[f"c{n}"], (t.language, r["t"])
+
+
 def test_stemmer_samples():
     want = {"consign": "consign", "consigned": "consign", "consisting": "consist", "knightly": "knight", "generously": "generous", "hopping": "hop", "hoping": "hope", "skies": "sky", "national": "nation", "relational": "relat", "happiness": "happi", "caresses": "caress"}
     assert {w: stem_english(w) for w in want} == want
