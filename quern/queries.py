@@ -13,7 +13,7 @@ from .functions.stemming import stem_array
 from .functions.text import _FROM, _TO, Tokenizer, bounded_levenshtein, replace_diacritics, sort_key, splitter, stop_words
 from .operators import filters as f
 from .plans import index
-from .types import Algorithm, FacetConfig, FacetSorting, GeoPoint, GroupBy, GroupReduce, NumberFacetRange, SortBy, SortOrder
+from .types import FacetConfig, FacetSorting, GeoPoint, GroupBy, GroupReduce, NumberFacetRange, SortBy, SortOrder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -404,9 +404,9 @@ def sort_missing_last(spark, sf):
     return _ranks(labelled(spark, sf).search(sort_by=SortBy("good", SortOrder.DESC), limit=500))
 
 
-@query(f"SELECT doc_id, translate(replace(replace(replace(replace(lower(left(text, 60)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '{_FROM}', '{_TO}') AS key FROM documents WHERE lang = 'de'")
+@query(f"SELECT doc_id, translate(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '{_FROM}', '{_TO}') AS key FROM documents WHERE lang = 'de'")
 def sort_key_de(spark, sf):
-    return _t(spark, sf, "documents").filter("lang = 'de'").select("doc_id", sort_key(F.substring("text", 1, 60), "german").alias("key"))
+    return _t(spark, sf, "documents").filter("lang = 'de'").select("doc_id", sort_key(F.col("text"), "german").alias("key"))
 
 
 def _facet(result, path: str) -> DataFrame:
@@ -520,9 +520,3 @@ def excerpt(spark, sf):
     docs = _t(spark, sf, "documents").withColumn("m", highlight.positions_py("erin")(F.col("text")))
     return docs.select("doc_id", highlight.excerpt(F.col("text"), F.col("m"), 60).alias("excerpt"))
 
-
-def entry(spark: SparkSession) -> DataFrame:
-    return QUERIES["bm25_top10"](spark, "/root/testdata/sf0.001")
-
-
-assert Algorithm.BM25
