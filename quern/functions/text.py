@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from .stemming import STEMMED, stem_array, stem_english
+from .stemming import STEMMED, STEMMERS, stem_array
 
 ALIASES = {"en": "english", "de": "german", "fr": "french", "fi": "finnish", "it": "italian", "nl": "dutch", "no": "norwegian", "pt": "portuguese", "ru": "russian", "es": "spanish", "sv": "swedish"}
 
@@ -178,7 +178,7 @@ class Tokenizer:
         stop = self.stop_words or ()
         tokens = [t for t in raw if t not in stop]
         if self.stemming and self.language in STEMMED and (prop is None or prop not in self.stem_skip):
-            tokens = [stem_english(t) for t in tokens]
+            tokens = [STEMMERS[self.language](t) for t in tokens]
         tokens = [t for t in map(replace_diacritics_py, tokens) if t]
         return tokens if self.allow_duplicates else list(dict.fromkeys(tokens))
 

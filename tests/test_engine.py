@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quern.collection import Collection
 from quern.errors import DocumentNotFoundError, DocumentValidationError, QueryError, SchemaValidationError
 from quern.functions import geo, highlight
-from quern.functions.stemming import stem_english
+from quern.functions.stemming import STEMMERS, stem_english
 from quern.functions.text import LANGUAGES, Tokenizer, bounded_levenshtein, replace_diacritics_py, sort_key, stop_words
 from quern.operators import filters as f
 from quern.plans import index, rank
@@ -88,6 +88,19 @@ def test_stemmer_samples():
     assert {w: stem_english(w) for w in want} == want
 
 
+def test_stemmers_of_other_languages(spark):
+    samples = {
+        "german": {"aufeinander": "aufeinand", "aufenthalt": "aufenthalt", "kategorien": "kategori", "kategorischen": "kategor", "häuser": "haus", "schönheit": "schonheit"},
+        "swedish": {"jaktkarlarne": "jaktkarl", "klostergården": "klostergård", "jämförelse": "jämför", "friskt": "frisk"},
+        "danish": {"undersøgelse": "undersøg", "indtage": "indtag", "undgik": "undgik", "uundgåelig": "uundgå"},
+        "norwegian": {"havnedistriktene": "havnedistrikt", "havneavgifter": "havneavgift", "opning": "opning"},
+        "spanish": {"chicas": "chic", "torneado": "torn", "cheques": "chequ", "chilena": "chilen", "rápidamente": "rapid", "tortura": "tortur"},
+    }
+    for language, words in samples.items():
+        assert {w: STEMMERS[language](w) for w in words} == words
+    assert Tokenizer("de", stemming=True).tokenize(spark, "Kategorien Häuser") == ["kategori", "haus"]
+
+
 def test_fuzzy(spark):
     d = lambda a, b, k: one(spark, bounded_levenshtein(F.lit(a), F.lit(b), k))
     assert d("kitten", "sitting", 3) == 3 and d("kitten", "sitting", 2) is None and d("foo", "foobar", 1) == 0
