@@ -10,7 +10,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import DocumentNotFoundError, DocumentValidationError, QueryError
@@ -45,6 +45,7 @@ class Collection:
     search_arrays: bool = False
     score_digits: int | None = None
     next_ord: int = 1
+    next_generated: int = 0
     tables: Tables | None = field(default=None, compare=False, repr=False)
 
     # -- making ---------------------------------------------------------------
@@ -73,17 +74,17 @@ class Collection:
         return replace(self, docs=docs, tables=None, **more)
 
     def insert(self, rows: DataFrame | Iterable[Mapping]) -> Collection:
-        """All rows or none. Rows without an id get the next number; a duplicate id is an error."""
+        """All rows or none. Rows without an id get the next generated number, counted from 0; a duplicate id is an error."""
         df = self._frame(rows)
         df = self.schema.conform(df)
         if "id" not in df.columns:
             df = df.withColumn("id", F.lit(None).cast("string"))
         numbered, count = _number(df, self.next_ord)
-        numbered = numbered.withColumn("id", F.coalesce("id", (F.col("doc_ord") - 1).cast("string")))
+        numbered, made = _generate(numbered, self.next_generated)
         ids = numbered.select("id").unionByName(self.docs.select("id")).groupBy("id").count().filter("count > 1").limit(1).collect()
         if ids:
             raise DocumentValidationError(f"duplicate id {ids[0]['id']!r}", "id")
-        return self._with(self.docs.unionByName(numbered, allowMissingColumns=True), next_ord=self.next_ord + count)
+        return self._with(self.docs.unionByName(numbered, allowMissingColumns=True), next_ord=self.next_ord + count, next_generated=self.next_generated + made)
 
     def _frame(self, rows) -> DataFrame:
         if isinstance(rows, DataFrame):
@@ -330,3 +331,18 @@ def _number(df: DataFrame, first: int) -> tuple[DataFrame, int]:
     starts = df.sparkSession.createDataFrame(table, "p long, base long")
     out = marked.withColumn("p", part).join(F.broadcast(starts), "p").withColumn("doc_ord", F.col("base") + F.col("__at").bitwiseAND((1 << 33) - 1))
     return out.drop("p", "base", "__at"), base - first
+
+
+def _generate(numbered: DataFrame, first: int) -> tuple[DataFrame, int]:
+    """Ids for the rows without one, in their order: counts by stretches of the order, then a number within each."""
+    bare = numbered.filter("id IS NULL").withColumn("__b", F.shiftright("doc_ord", 16))
+    base, table = first, []
+    for r in sorted(bare.groupBy(F.col("__b").alias("b")).count().collect()):
+        table.append((r["b"], base))
+        base += r["count"]
+    if not table:
+        return numbered, 0
+    starts = numbered.sparkSession.createDataFrame(table, "__b long, base long")
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("doc_ord"))
+    named = bare.withColumn("__k", place).join(F.broadcast(starts), "__b").withColumn("id", (F.col("base") + F.col("__k") - 1).cast("string"))
+    return numbered.filter("id IS NOT NULL").unionByName(named.select(*numbered.columns)), base - first

@@ -35,7 +35,7 @@ def manifest(c: Collection, format: Format, tables: bool, stats: index.Stats | N
         raise SerializationError("a custom tokenizer or stemmer can't be written down")
     t = c.tokenizer
     return {
-        "formatVersion": FORMAT_VERSION, "format": format.value, "algorithm": c.algorithm.value, "schema": json.loads(c.schema.to_json()), "nextOrd": c.next_ord,
+        "formatVersion": FORMAT_VERSION, "format": format.value, "algorithm": c.algorithm.value, "schema": json.loads(c.schema.to_json()), "nextOrd": c.next_ord, "nextGenerated": c.next_generated,
         "tokenizer": {
             "language": t.language, "stemming": t.stemming, "words": None if t.words is None else list(t.words), "useDefaultStopWords": t.use_default_stop_words,
             "allowDuplicates": t.allow_duplicates, "skip": sorted(t.skip), "stemSkip": sorted(t.stem_skip),
@@ -100,7 +100,7 @@ def load(spark: SparkSession, path: str) -> Collection:
         raise SerializationError(f"malformed manifest: {e}") from e
     try:
         docs = spark.read.format(format.value).schema(StructType.fromJson(json.loads(m["docsSchema"]))).load(f"{path}/docs")
-        c = Collection(spark, Schema.from_json(json.dumps(m["schema"])), docs, tokenizer, algorithm, BM25Params(**m["params"]), m["strictCompat"], m["searchArrays"], m["scoreDigits"], m["nextOrd"])
+        c = Collection(spark, Schema.from_json(json.dumps(m["schema"])), docs, tokenizer, algorithm, BM25Params(**m["params"]), m["strictCompat"], m["searchArrays"], m["scoreDigits"], m["nextOrd"], m["nextGenerated"])
         if not m["index"]:
             return c
         stats = index.Stats(m["stats"]["documents"], m["stats"]["average"])
