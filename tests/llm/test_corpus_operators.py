@@ -119,6 +119,23 @@ def test_ngram_join(docs_of, hard_rows):
     assert ngram_jaccard.pairs(docs.limit(0)).count() == 0 and ngram_jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_in_many_buckets(docs_of, monkeypatch):
+    """Buckets, fragments and batches of a large input, on a small one."""
+    for name, value in (("BUCKET_BYTES", 4000), ("FRAGMENT_BYTES", 10_000), ("PAIRS_AT_ONCE", 500), ("HOT_PAIRS", 300)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    rows = near_rows()
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_jaccard.pairs(docs_of(rows)).collect()}
+    assert got == pytest.approx(brute_pairs(rows))
+
+
+def test_suffix_dedup_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 30_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeats(docs).collect())
+    assert got == brute_repeats(rows, 50) and got
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (100, 102), (7, 7)]
     got = {r["doc_id"]: r["group_id"] for r in ngram_jaccard.groups(spark.createDataFrame(chain, "doc_a long, doc_b long")).collect()}

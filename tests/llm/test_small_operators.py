@@ -97,6 +97,18 @@ def test_line_dedup(docs_of, hard_rows):
     assert line_dedup.dedup_lines(docs_of(rows).limit(0)).count() == 0
 
 
+def test_in_many_shards(docs_of, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_BYTES", 100)
+    monkeypatch.setattr(exact_dedup, "SHARD_BYTES", 100)
+    rows = [(k, "\n".join(random.choices([f"line {j}" for j in range(9)], k=2))) for k in range(200)]
+    got = line_dedup.dedup_lines(docs_of(rows))
+    assert sorted((r["doc_id"], r["text"], r["n_lines"]) for r in got.collect()) == brute_lines(rows)
+    least = {}
+    for i, t in rows:
+        least.setdefault(t, i)
+    assert {tuple(r) for r in exact_dedup.duplicates(docs_of(rows)).collect()} == {(i, least[t]) for i, t in rows if least[t] != i}
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 20_000).astype(np.uint64))
     h = line_dedup.PerfectHash.load(line_dedup.PerfectHash.build(keys).dump())
