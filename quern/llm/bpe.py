@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, trim
 from .token_counts import PATTERN, VOCABULARY, load_ranks
 
 LONG = 16_384
@@ -107,11 +107,12 @@ def _encode(vocabulary: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary, pattern)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 tokens = [None if t is None else enc.encode_to_numpy(t, disallowed_special=()) for t in texts]
                 same = [t is None or decode_flat(k, vocabulary) == t.encode() for t, k in zip(texts, tokens, strict=True)]
                 yield _rows(part.column("doc_id"), tokens, same)
+        trim()
 
     return run
 

@@ -81,7 +81,7 @@ def hash_strings(values: list[str] | np.ndarray) -> np.ndarray:
     return pd.util.hash_array(np.asarray(values, dtype=object), categorize=False).astype(U64)
 
 
-def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = 8 << 20, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = 2 << 20, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most about ``limit`` bytes of text, one row at least."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     total, start = np.cumsum(size), 0

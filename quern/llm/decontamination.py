@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, drop_ids, hash_strings, mix, ranges, slices, table, words
+from .common import U64, cut, drop_ids, hash_strings, mix, ranges, slices, table, trim, words
 
 W = 8
 LITERAL = 5
@@ -132,6 +132,7 @@ def windows_of(rows: DataFrame, known=None) -> DataFrame:
                         [pa.array(ids, pa.int64()), pa.array(h.view(np.int64)), pa.array((a - t.offsets[d]).astype(np.int32)), pa.array([t.slots(x) for x in a.tolist()], pa.list_(pa.string()))],
                         ["id", "window", "pos", "slots"],
                     )
+        trim()
 
     return rows.filter("id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, WINDOWS)
 
