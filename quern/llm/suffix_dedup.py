@@ -362,8 +362,9 @@ def repeats(docs: DataFrame, least: int = L) -> DataFrame:
     regions = cut(shared.groupBy("home").applyInArrow(_regions(least), "k long, begins array<int>, ends array<int>"))
     size = regions.agg(F.sum(8 * F.size("begins") + 32)).first()[0] or 0
     held = rows.join(F.broadcast(regions) if size <= BROADCAST_BYTES else regions, "k").select("doc_id", "k", "text", "begins", "ends")
-    suffixes = held.mapInArrow(_suffixes(bits, least), "bucket int, payload binary")
-    hits = suffixes.groupBy("bucket").applyInArrow(_order(bits, least), HITS)
+    fine = bits + 2  # a suffix weighs more than a phrase
+    suffixes = held.mapInArrow(_suffixes(fine, least), "bucket int, payload binary")
+    hits = suffixes.groupBy("bucket").applyInArrow(_order(fine, least), HITS)
 
     def spans(batch: pa.Table) -> pa.Table:
         ids, k, a, b = (np.asarray(batch.column(c)).astype(np.int64) for c in ("doc_id", "k", "a", "b"))
