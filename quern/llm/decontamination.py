@@ -6,7 +6,7 @@ an item (one offset between their tokens) every slot value of the item must map
 it does when a question was copied or re-parameterised; an alignment that breaks this is dropped. A document is
 contaminated by an item when its consistent windows are at least ``SHARE`` of the item's windows.
 
-A name is a capitalised word inside a sentence; words in capitals only, and the first word of a sentence, are
+A name is a capitalised word of two letters or more inside a sentence; words in capitals only, and the first word of a sentence, are
 ordinary. A window needs ``LITERAL`` ordinary words, so that placeholders alone are no evidence.
 
 Defined cases: null texts and ids never match; an item with fewer than ``W`` template tokens (or no window with
@@ -66,7 +66,7 @@ def kind_of(token: str) -> tuple[int, str, bool]:
     low = core.lower()
     if low in UNITS:
         return UNIT, low, ends
-    if core[0].isupper() and (len(core) == 1 or not core.isupper()):
+    if len(core) > 1 and core[0].isupper() and not core.isupper():
         return CAPITAL, low, ends
     return WORD, low, ends
 
