@@ -128,6 +128,34 @@ def test_ngram_join_in_many_buckets(docs_of, monkeypatch):
     assert got == pytest.approx(brute_pairs(rows))
 
 
+def brute_all_pairs(rows, t=0.5):
+    """Every pair of ids over all their sets, nothing collapsed; the greatest Jaccard of an id's versions."""
+    own, out = {(i, sets_of(x)) for i, x in rows if i is not None and x is not None and x.split()}, {}
+    for a, s in own:
+        for b, u in own:
+            if a < b and (j := len(s & u) / len(s | u)) >= t:
+                out[a, b] = max(j, out.get((a, b), 0))
+    return out
+
+
+def found_pairs(docs):
+    got = [((r["doc_a"], r["doc_b"]), r["jaccard"]) for r in ngram_jaccard.all_pairs(docs).collect()]
+    assert len(got) == len(dict(got))
+    return dict(got)
+
+
+@pytest.mark.parametrize("at_once", [2, 1000])
+def test_ngram_join_gives_every_pair_of_copies(docs_of, hard_rows, monkeypatch, at_once):
+    monkeypatch.setattr(ngram_jaccard, "IDS_AT_ONCE", at_once)
+    text, near = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    near = " ".join(text.split()[:36] + near.split()[:4])
+    rows = hard_rows + [(700 + k, text) for k in range(5)] + [(k, near) for k in (690, 697, 705, 708)] + near_rows()[:60]
+    rows += [(900 + k, x) for k, (_, x) in enumerate(near_rows()[:12])]
+    want = brute_all_pairs(rows)
+    assert sum(690 <= a and b <= 708 for a, b in want) == 9 * 8 // 2 and len(want) > len(brute_pairs(rows))
+    assert found_pairs(docs_of(rows)) == pytest.approx(want)
+
+
 def test_suffix_dedup_in_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 30_000)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
