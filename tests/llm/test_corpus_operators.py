@@ -156,6 +156,18 @@ def test_ngram_join_gives_every_pair_of_copies(docs_of, hard_rows, monkeypatch,
     assert found_pairs(docs_of(rows)) == pytest.approx(want)
 
 
+def test_ngram_join_of_a_table_loaded_twice(docs_of):
+    """Slices with the same rows: partitions that repeat, and a repeated text that is longer than a slice."""
+    rng = random.Random(5)
+    long = [" ".join(f"{c}{rng.randrange(3000)}" for _ in range(3000)) * 250 for c in "ab"]
+    assert min(map(len, long)) > 4 << 20
+    rows = near_rows()[:80] + [(800, long[0]), (800, long[0]), (801, long[0] + " the end"), (801, long[0] + " the end"), (802, long[1])]
+    docs = docs_of(rows).repartition(3, "doc_id").cache()
+    want = brute_all_pairs(rows)
+    assert (800, 801) in want and found_pairs(docs.union(docs).union(docs)) == pytest.approx(want)
+    assert found_pairs(docs.coalesce(1)) == pytest.approx(want)
+
+
 def test_suffix_dedup_in_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 30_000)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
