@@ -168,6 +168,20 @@ def test_ngram_join_of_a_table_loaded_twice(docs_of):
     assert found_pairs(docs.coalesce(1)) == pytest.approx(want)
 
 
+def test_ngram_join_of_an_id_with_several_texts(docs_of):
+    """Versions don't add up, and the nearest two decide; a clean row of an id in no pair stays."""
+    w = [f"w{k}" for k in range(60)]
+    part = lambda a, b, c: " ".join(w[a:b] + [f"{c}{k}" for k in range(40 - (b - a))])
+    whole = " ".join(w[:40])
+    rows = [(1, whole), (2, part(0, 20, "p")), (2, part(20, 40, "q")), (2, "a clean version of the second document"), (3, part(0, 36, "r")), (3, part(0, 32, "s")), (3, whole), (4, part(0, 34, "t")), (4, part(0, 30, "u"))]
+    want = brute_all_pairs(rows)
+    assert sorted(want) == [(1, 3), (1, 4), (3, 4)] and want[1, 3] == 1.0
+    assert found_pairs(docs_of(rows)) == pytest.approx(want)
+    spanning = ngram_jaccard.pairs(docs_of(rows)).collect()
+    assert len(spanning) == len({(r["doc_a"], r["doc_b"]) for r in spanning}) and max(r["jaccard"] for r in spanning) == 1.0
+    assert sorted(r["doc_id"] for r in ngram_jaccard.keep_one(docs_of(rows)).collect()) == [1, 2, 2, 2]
+
+
 def test_suffix_dedup_in_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 30_000)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
