@@ -10,8 +10,8 @@ footers, advertisements or forms are content. In training those two tags are oft
 from the rest of the path, the words and the context, and can label pages that lack them.
 
 Defined cases: a null page has null text and 0 blocks, the empty page the empty text; broken markup is read as far as tags
-can be told (open tags close with their parents); scripts, styles and comments are no text; whole pages are read,
-however long; repeated rows give equal results; with no pages to train on nothing is content; an empty table gives no rows.
+can be told (open tags close with their parents), however deep it nests; scripts, styles and comments are no text; whole pages are read,
+however long; repeated rows give equal results; other columns are ignored, whatever their names; with no pages to train on nothing is content; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,35 +48,60 @@ _INSIDE = frozenset({"article", "main"})
 _OUTSIDE = frozenset("nav aside footer form button select head title ad ads advert advertisement promo sponsored share social related comments menu sidebar breadcrumb cookie banner".split())
 
 
+class Open:
+    """An open element: its tag and classes, and the element around it. Elements share their paths instead of copying them."""
+
+    __slots__ = ("around", "tag", "names", "inside", "outside")
+
+    def __init__(self, around: Open | None, tag: str, names: tuple[str, ...]):
+        self.around, self.tag, self.names = around, tag, names
+        self.inside = bool(around and around.inside) or not _INSIDE.isdisjoint(names)
+        self.outside = bool(around and around.outside) or not _OUTSIDE.isdisjoint(names)
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    at: Open | None
     text: str
     linked: int
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self.at
+        while at is not None:
+            out.append(at.names)
+            at = at.around
+        return tuple(x for names in reversed(out) for x in names)
+
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in their order; blank ones are left out."""
+    """Leaf blocks of a page in their order; blank ones are left out. Takes time and memory in proportion to the page, however deep it nests."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    top: Open | None = None
+    count: dict[str, int] = {}
     parts: list[str] = []
-    linked, path = 0, ()
+    linked, at = 0, None
 
     def end() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(path, text, linked))
+            out.append(Block(at, text, linked))
         parts.clear()
         linked = 0
 
+    def close() -> None:
+        nonlocal top
+        count[top.tag] -= 1
+        top = top.around
+
     for m in _TOKEN.finditer(page):
         text = m[5]
         if text is not None:
             if not parts:
-                path = tuple(x for _, names in stack for x in names)
+                at = top
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if count.get("a"):
                 linked += len(text)
             continue
         tag = m[3]
@@ -88,23 +113,24 @@ def blocks(page: str) -> list[Block]:
         elif tag == "br":
             parts.append(" ") if parts else None
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if count.get(tag):
+                while top.tag != tag:
+                    close()
+                close()
         elif tag not in _VOID and not m[4].endswith("/"):
-            if tag in _SELF_CLOSING and stack and stack[-1][0] in _SELF_CLOSING[tag]:
-                stack.pop()
+            if tag in _SELF_CLOSING and top and top.tag in _SELF_CLOSING[tag]:
+                close()
             names = (tag,)
             if m[4]:
                 names += tuple(x.lower() for c in _CLASS.findall(m[4]) for x in c.split())
-            stack.append((tag, names))
+            top = Open(top, tag, names)
+            count[tag] = count.get(tag, 0) + 1
     end()
     return out
 
 
-def teacher(path: tuple[str, ...]) -> bool:
-    return bool(_INSIDE.intersection(path)) and not _OUTSIDE.intersection(path)
+def teacher(block: Block) -> bool:
+    return block.at is not None and block.at.inside and not block.at.outside
 
 
 def _slot(cache: dict[str, int], word: str, dim: int) -> int:
@@ -121,11 +147,18 @@ def vectors(found: list[Block], cache: dict[str, int], hide: frozenset[str] = fr
     x = np.zeros((len(found), DIM), np.float32)
     if not found:
         return x
-    slots, owner = [], []
+    slots, owner, paths = [], [], {None: np.zeros(PATH_DIM, np.float32)}
     for k, b in enumerate(found):
-        for t in b.path:
-            if t not in hide:
-                x[k, _slot(cache, "<" + t, PATH_DIM)] += 1
+        new, at = [], b.at
+        while at not in paths:
+            new.append(at)
+            at = at.around
+        for at in reversed(new):  # an element's vector is that of the one around it, and its own names
+            own = paths[at] = paths[at.around].copy()
+            for t in at.names:
+                if t not in hide:
+                    own[_slot(cache, "<" + t, PATH_DIM)] += 1
+        x[k, :PATH_DIM] = paths[b.at]
         ws = b.text.lower().split()
         slots.extend([_slot(cache, w, WORD_DIM) for w in ws])
         owner.append(len(ws))
@@ -224,7 +257,7 @@ def train(pages: list[str], seed: int = 5) -> BiLSTM | None:
     if not found:
         return None
     net, cache = BiLSTM.fresh(rng), {}
-    labels = [np.array([teacher(b.path) for b in bs], np.float32) for bs in found]
+    labels = [np.array([teacher(b) for b in bs], np.float32) for bs in found]
     seen = [vectors(bs, cache) for bs in found]
     hidden = [vectors(bs, cache, _INSIDE) for bs in found]
     m1, m2, step = {k: 0 * v for k, v in net.p.items()}, {k: 0 * v for k, v in net.p.items()}, 0
