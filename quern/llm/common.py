@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -31,10 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; set a local one only where none is set."""
+    """Use the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary folder serves a ``local`` master, whose executors are this process; any other master is
+    refused, since its executors couldn't read a folder of this machine.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(at or os.path.join(tempfile.gettempdir(), "quern-checkpoints"))
+        if at is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            at = os.path.join(tempfile.gettempdir(), "quern-checkpoints")
+        spark.sparkContext.setCheckpointDir(at)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,24 +52,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pieces(n_bytes: int, each: int, least: int = 1, most: int = 1 << 20) -> int:
-    return int(min(most, max(least, -(-n_bytes // each))))
+def pieces(n_bytes: int, each: int, least: int = 1) -> int:
+    return int(max(least, -(-n_bytes // each)))
+
+
+#: rows to drop beyond this count are joined by a shuffle instead of a broadcast
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` (a table that has been cut), to be broadcast if it has few rows and joined by a shuffle otherwise."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
-#: ids beyond this count are joined by a shuffle instead of a broadcast
-BROADCAST_IDS = 2_000_000
+def text_key(text: Column) -> Column:
+    """Tells rows of one ``doc_id`` with different texts apart."""
+    return F.xxhash64(text)
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without those whose ``doc_id`` is in ``ids`` (one column, ``doc_id``).
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``gone`` names by ``doc_id`` and ``k``, the ``text_key``.
 
-    Rows with a null ``doc_id`` stay. ``ids`` is written to the shared folder and counted: a small
-    set is broadcast, so that texts need no shuffle; a larger one is joined by a shuffle.
+    Rows with a null ``doc_id`` or text stay, and so do rows of the same ``doc_id`` with another text. ``gone`` is written to the
+    shared folder and counted: a small one is broadcast, so that texts need no shuffle; a larger one is joined by a shuffle.
     """
-    ids = cut(ids.select(F.col("doc_id").alias("__drop")).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"] == ids["__drop"], "left_anti")
+    gone = cut(gone.select(F.col("doc_id").cast("long").alias("__id"), F.col("k").alias("__k")).distinct())
+    return docs.join(small(gone), (docs["doc_id"].cast("long") == gone["__id"]) & (text_key(docs["text"]) == gone["__k"]), "left_anti")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -172,8 +189,9 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(df[column]).cast("long"))).first()[0] or 0)
 
 
-def bits_for(n_bytes: int, each: int, most: int = 20) -> int:
-    """Bits of a bucket number so that a bucket holds about ``each`` bytes."""
+def bits_for(n_bytes: int, each: int, most: int = 28) -> int:
+    """Bits of a bucket number so that a bucket holds about ``each`` bytes; 28 bits are enough for petabytes and still leave
+    bucket numbers 32 bits."""
     return min(most, max(0, (-(-n_bytes // each) - 1).bit_length()))
 
 

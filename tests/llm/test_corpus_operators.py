@@ -9,7 +9,7 @@ import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, html_extraction, ngram_jaccard, quality, suffix_dedup
+from quern.llm import common, decontamination, exact_dedup, html_extraction, ngram_jaccard, quality, suffix_dedup
 from quern.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -68,22 +68,31 @@ def sets_of(text, n=3):
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
 
 
-def brute_pairs(rows, t=0.5):
-    first, out = {}, {}
-    for i, text in sorted((i, x) for i, x in rows if i is not None and x is not None and x.split()):
-        s = sets_of(text)
-        if s in first:
-            if first[s] != i:
-                out[first[s], i] = 1.0
-        else:
-            first[s] = i
-    reps = sorted((i, s) for s, i in first.items())
-    for k, (a, s) in enumerate(reps):
-        for b, u in reps[k + 1 :]:
-            j = len(s & u) / len(s | u)
-            if j >= t and a != b:
-                out[a, b] = j
-    return out
+def brute_classes(rows, t=0.5):
+    """Class and links of every document (id and text) in a pair, all documents compared with all."""
+    own = sorted({(i, x) for i, x in rows if i is not None and x is not None and x.split()})
+    sets, parent, links = [sets_of(x) for _, x in own], list(range(len(own))), collections.Counter()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, s in enumerate(sets):
+        for b in range(a + 1, len(own)):
+            if min(len(s), len(sets[b])) >= t * max(len(s), len(sets[b])) and len(s & sets[b]) / len(s | sets[b]) >= t:
+                links[a] += 1
+                links[b] += 1
+                ra, rb = find(a), find(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    return {own[k]: (own[find(k)][0], links[k]) for k in links}
+
+
+def found_classes(spark, docs, rows):
+    texts = {(i, k): t for i, t, k in docs.selectExpr("doc_id", "text", "xxhash64(text)").collect()}
+    got = [((r["doc_id"], texts[r["doc_id"], r["k"]]), (r["class_id"], r["n_links"])) for r in ngram_jaccard.classes(docs).collect()]
+    assert len(got) == len(dict(got))
+    return dict(got)
 
 
 def near_rows():
@@ -98,88 +107,65 @@ def near_rows():
     return rows
 
 
-def test_ngram_join(docs_of, hard_rows):
+def kept_rows(rows, want):
+    """Of each class the row of the smallest id, and all rows in no class."""
+    least = {}
+    for (i, x), (c, _) in want.items():
+        if i == c:
+            least.setdefault(c, []).append(x)
+    return [(i, x) for i, x in rows if (i, x) not in want or (i == want[i, x][0] and len(least[i]) == 1)]
+
+
+def some(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
+def test_ngram_join(spark, docs_of, hard_rows):
+    text, near = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    near = " ".join(text.split()[:36] + near.split()[:4])
     rows = hard_rows + near_rows() + [(500, "short"), (501, "SHORT"), (502, "two words"), (503, "two  words ")]
+    rows += [(700 + k, text) for k in range(5)] + [(k, near) for k in (690, 697, 705, 708)]
     docs = docs_of(rows)
-    want = brute_pairs(rows)
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_jaccard.pairs(docs).collect()}
-    assert got == pytest.approx(want) and len(want) > 500
+    want = brute_classes(rows)
+    assert found_classes(spark, docs, rows) == want and len(want) > 150
     kept = ngram_jaccard.keep_one(docs)
-    parent = {}
+    assert some((r["doc_id"], r["text"]) for r in kept.collect()) == some(kept_rows(rows, want)) and kept.columns == docs.columns
+    assert ngram_jaccard.classes(docs.limit(0)).count() == 0 and ngram_jaccard.keep_one(docs.limit(0)).count() == 0
 
-    def find(x):
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in want:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted(i or 0 for i, _ in rows if i is None or find(i) == i) and kept.columns == docs.columns
-    assert ngram_jaccard.pairs(docs.limit(0)).count() == 0 and ngram_jaccard.keep_one(docs.limit(0)).count() == 0
 
-
-def test_ngram_join_in_many_buckets(docs_of, monkeypatch):
-    """Buckets, fragments and batches of a large input, on a small one."""
-    for name, value in (("BUCKET_BYTES", 4000), ("FRAGMENT_BYTES", 10_000), ("PAIRS_AT_ONCE", 500), ("HOT_PAIRS", 300)):
+@pytest.mark.parametrize("block", [1000, 1 << 24])
+def test_ngram_join_in_many_buckets(spark, docs_of, monkeypatch, block):
+    """Buckets, fragments, blocks and batches of a large input, on a small one."""
+    for name, value in (("BUCKET_BYTES", 4000), ("FRAGMENT_BYTES", 10_000), ("BLOCK_BYTES", block), ("PAIRS_AT_ONCE", 500), ("HOT_PAIRS", 300)):
         monkeypatch.setattr(ngram_jaccard, name, value)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rows = near_rows()
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in ngram_jaccard.pairs(docs_of(rows)).collect()}
-    assert got == pytest.approx(brute_pairs(rows))
-
-
-def brute_all_pairs(rows, t=0.5):
-    """Every pair of ids over all their sets, nothing collapsed; the greatest Jaccard of an id's versions."""
-    own, out = {(i, sets_of(x)) for i, x in rows if i is not None and x is not None and x.split()}, {}
-    for a, s in own:
-        for b, u in own:
-            if a < b and (j := len(s & u) / len(s | u)) >= t:
-                out[a, b] = max(j, out.get((a, b), 0))
-    return out
-
-
-def found_pairs(docs):
-    got = [((r["doc_a"], r["doc_b"]), r["jaccard"]) for r in ngram_jaccard.all_pairs(docs).collect()]
-    assert len(got) == len(dict(got))
-    return dict(got)
-
-
-@pytest.mark.parametrize("at_once", [2, 1000])
-def test_ngram_join_gives_every_pair_of_copies(docs_of, hard_rows, monkeypatch, at_once):
-    monkeypatch.setattr(ngram_jaccard, "IDS_AT_ONCE", at_once)
-    text, near = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
-    near = " ".join(text.split()[:36] + near.split()[:4])
-    rows = hard_rows + [(700 + k, text) for k in range(5)] + [(k, near) for k in (690, 697, 705, 708)] + near_rows()[:60]
-    rows += [(900 + k, x) for k, (_, x) in enumerate(near_rows()[:12])]
-    want = brute_all_pairs(rows)
-    assert sum(690 <= a and b <= 708 for a, b in want) == 9 * 8 // 2 and len(want) > len(brute_pairs(rows))
-    assert found_pairs(docs_of(rows)) == pytest.approx(want)
+    docs = docs_of(rows).repartition(6)
+    assert found_classes(spark, docs, rows) == brute_classes(rows)
 
 
-def test_ngram_join_of_a_table_loaded_twice(docs_of):
+def test_ngram_join_of_a_table_loaded_twice(spark, docs_of):
     """Slices with the same rows: partitions that repeat, and a repeated text that is longer than a slice."""
     rng = random.Random(5)
     long = [" ".join(f"{c}{rng.randrange(3000)}" for _ in range(3000)) * 250 for c in "ab"]
     assert min(map(len, long)) > 4 << 20
     rows = near_rows()[:80] + [(800, long[0]), (800, long[0]), (801, long[0] + " the end"), (801, long[0] + " the end"), (802, long[1])]
     docs = docs_of(rows).repartition(3, "doc_id").cache()
-    want = brute_all_pairs(rows)
-    assert (800, 801) in want and found_pairs(docs.union(docs).union(docs)) == pytest.approx(want)
-    assert found_pairs(docs.coalesce(1)) == pytest.approx(want)
+    want = brute_classes(rows)
+    assert want[800, long[0]] == (800, 1) and found_classes(spark, docs.union(docs).union(docs), rows) == want
+    assert found_classes(spark, docs.coalesce(1), rows) == want
 
 
-def test_ngram_join_of_an_id_with_several_texts(docs_of):
-    """Versions don't add up, and the nearest two decide; a clean row of an id in no pair stays."""
+def test_ngram_join_of_an_id_with_several_texts(spark, docs_of):
+    """Versions don't add up; a clean row of an id in a class stays."""
     w = [f"w{k}" for k in range(60)]
     part = lambda a, b, c: " ".join(w[a:b] + [f"{c}{k}" for k in range(40 - (b - a))])
-    whole = " ".join(w[:40])
-    rows = [(1, whole), (2, part(0, 20, "p")), (2, part(20, 40, "q")), (2, "a clean version of the second document"), (3, part(0, 36, "r")), (3, part(0, 32, "s")), (3, whole), (4, part(0, 34, "t")), (4, part(0, 30, "u"))]
-    want = brute_all_pairs(rows)
-    assert sorted(want) == [(1, 3), (1, 4), (3, 4)] and want[1, 3] == 1.0
-    assert found_pairs(docs_of(rows)) == pytest.approx(want)
-    spanning = ngram_jaccard.pairs(docs_of(rows)).collect()
-    assert len(spanning) == len({(r["doc_a"], r["doc_b"]) for r in spanning}) and max(r["jaccard"] for r in spanning) == 1.0
-    assert sorted(r["doc_id"] for r in ngram_jaccard.keep_one(docs_of(rows)).collect()) == [1, 2, 2, 2]
+    whole, clean = " ".join(w[:40]), "a clean version of the second document"
+    rows = [(1, whole), (2, part(0, 20, "p")), (2, part(20, 40, "q")), (2, clean), (3, part(0, 36, "r")), (3, part(0, 32, "s")), (3, whole), (4, part(0, 34, "t")), (4, part(0, 30, "u"))]
+    want = brute_classes(rows)
+    assert found_classes(spark, docs_of(rows), rows) == want and {i for i, _ in want} == {1, 3, 4}
+    assert some((r["doc_id"], r["text"]) for r in ngram_jaccard.keep_one(docs_of(rows)).collect()) == some([rows[0], *rows[1:4]])
+    assert sorted(r["text"] for r in exact_dedup.deduplicate(docs_of(rows)).filter("doc_id = 3").collect()) == sorted(x for _, x in rows[4:6])
 
 
 def test_suffix_dedup_in_many_buckets(spark, monkeypatch):
@@ -203,64 +189,92 @@ ITEMS = [
     (3, "too short"),
     (4, None),
     (None, "the cat sat on a mat while all of the dogs"),
+    (6, "7 + 12 = ? 3 apples cost 4 dollars"),
+    (7, "add 3 and 4 please"),
 ]
 PROSE = "nothing of this text has any thing to do with what the tests are made of and so it goes on for a while"
 
 
 def test_decontamination(spark, docs_of, hard_rows):
     one = ITEMS[0][1]
-    swapped = one.replace("Alice", "Carol").replace("120", "300").replace("40", "64")
+    swapped = one.replace("Alice", "Mary Ann Carol").replace("120", "300").replace("40", "64")
     broken = one.replace("40 passengers", "41 passengers").replace("Alice", "Eve").replace("40 apples", "42 apples")
+    words = ITEMS[1][1].split()
     rows = hard_rows + [(20, f"{PROSE}. {one} {PROSE}"), (21, f"{PROSE}. {swapped}"), (22, f"{broken}"), (23, PROSE), (24, ITEMS[1][1].upper()), (25, " ".join(one.split()[:9])), (26, "The cat sat. 40 km 12 kg Bob Alice 7 miles 9 km Eve 40")]
-    items = spark.createDataFrame(ITEMS + ITEMS[:1], "item_id long, text string")
+    rows += [(27, f"{PROSE} {ITEMS[5][1]} {PROSE}"), (28, ITEMS[5][1].replace("7", "8")), (29, f"{PROSE} add 3 and 4 please {PROSE}"), (30, PROSE), (31, " ".join(words[:8] + ["thing"] + words[9:]))]
+    rows += [(20, "another text of the same id"), (20, PROSE)]
+    items = spark.createDataFrame(ITEMS + ITEMS[:1], "item_id long, text string").selectExpr("*", "1 AS k", "2 AS pos", "item_id AS doc_id", "text AS slots")
     docs = docs_of(rows)
     got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontamination.contaminated(docs, items).collect()}
-    assert got == {(20, 1): False, (21, 1): True, (24, 2): False}
+    assert got == {(20, 1): False, (21, 1): True, (24, 2): False, (27, 6): False, (29, 7): False}
     kept = decontamination.decontaminate(docs, items)
-    assert kept.count() == len(rows) - 3 and kept.columns == docs.columns
+    assert kept.count() == len(rows) - 5 and kept.columns == docs.columns and kept.filter("doc_id = 20").count() == 2
     for d, b in ((docs.limit(0), items), (docs, items.limit(0))):
         assert decontamination.contaminated(d, b).count() == 0
 
 
+def test_bloom(spark):
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000)).tolist()
+    own = decontamination.Bloom.of(spark.createDataFrame([(k,) for k in keys], "window long"), len(keys))
+    assert len(own(np.array(keys, np.uint64))) == len(keys)
+    assert len(own(np.random.default_rng(2).integers(0, 2**63, 200_000).astype(np.uint64))) < 1000
+
+
 def test_decontamination_brute_force(spark):
     """All windows of all documents against all of the benchmark's, in plain Python."""
 
     def template(text):
-        out, start = [], True
+        raw, start = [], True
         for w in text.split():
             kind, value, ends = decontamination.kind_of(w)
             if kind != decontamination.DROP:
                 literal = kind == decontamination.WORD or (kind == decontamination.CAPITAL and start)
-                out.append(("w", value) if literal else (kind, f"{kind}:{value}"))
+                if raw and not literal and kind == decontamination.CAPITAL == raw[-1][0]:
+                    raw[-1] = (kind, f"{raw[-1][1]} {value}")
+                else:
+                    raw.append(("w", value) if literal else (kind, f"{kind}:{value}"))
             start = ends
+        return raw
+
+    def windows(out):
         n = decontamination.W
         return [(p, out[p : p + n]) for p in range(len(out) - n + 1) if sum(k == "w" for k, _ in out[p : p + n]) >= decontamination.LITERAL]
 
     shape = lambda win: tuple((k, v) if k == "w" else (k,) for k, v in win)
     slots = lambda win: [v for k, v in win if k != "w"]
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    own = collections.defaultdict(list)
-    total = {}
+    own, size = collections.defaultdict(list), {}
     for r in items.collect():
-        wins = template(r["text"])
-        total[r["item_id"]] = len({p for p, _ in wins})
+        whole = template(r["text"])
+        wins = windows(whole)
+        assert wins  # items without windows are another test's
+        size[r["item_id"]] = (len(whole), len(wins))
         for p, win in wins:
             own[shape(win)].append((r["item_id"], p, slots(win)))
     want = {}
     for r in docs.collect():
         lines = collections.defaultdict(list)
-        for at, win in template(r["text"]):
+        for at, win in windows(template(r["text"])):
             for item, p, s in own.get(shape(win), ()):
                 lines[item, at - p].append((p, list(zip(s, slots(win)))))
-        found = collections.defaultdict(set)
+        found, run = collections.defaultdict(set), collections.Counter()
         for (item, _), hits in lines.items():
             pairs = {x for _, z in hits for x in z}
             if len(pairs) == len({a for a, _ in pairs}):
-                found[item] |= {p for p, _ in hits}
+                ps = {p for p, _ in hits}
+                found[item] |= ps
+                tokens = {q for p in ps for q in range(p, p + decontamination.W)}
+                for q in tokens:
+                    n = 0
+                    while q + n in tokens:
+                        n += 1
+                    run[item] = max(run[item], n)
         for item, ps in found.items():
-            if len(ps) / total[item] >= decontamination.SHARE:
-                want[r["doc_id"], item] = len(ps)
-    got = {(r["doc_id"], r["item_id"]): r["n_windows"] for r in decontamination.contaminated(docs, items).collect()}
+            tokens, wins = size[item]
+            covered = len({q for p in ps for q in range(p, p + decontamination.W)})
+            if (covered / tokens >= decontamination.SHARE and len(ps) >= min(wins, decontamination.FEWEST)) or run[item] >= decontamination.RUN:
+                want[r["doc_id"], item] = (len(ps), covered / tokens)
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["share"]) for r in decontamination.contaminated(docs, items).collect()}
     assert got == want and want
 
 
@@ -319,7 +333,7 @@ def test_html_extraction(spark):
     rows = [r["html"] for r in pages.orderBy("page_id").collect()]
     net = html_extraction.train(rows[:150])
     held = [html_extraction.blocks(p) for p in rows[150:]]
-    truth = [np.array([html_extraction.teacher(b.path) for b in bs]) for bs in held]
+    truth = [np.array([html_extraction.teacher(b) for b in bs]) for bs in held]
     got = html_extraction.label(net, held, {})
     assert np.mean(np.concatenate(got) == np.concatenate(truth)) >= 0.97
     bare = [html_extraction.blocks(re.sub("</?article>", "", p)) for p in rows[150:]]  # without the teacher's tag
@@ -364,8 +378,7 @@ def test_pipeline(spark):
             if k == 1:
                 assert len(after) == len({t for _, t in rows})
             if k == 2:
-                gone = {b for _, b in brute_pairs(rows)}
-                assert before - after == gone
+                assert after == {i for i, _ in kept_rows(rows, brute_classes(rows))}
             if k == 3:
                 items = spark.read.parquet(f"{SF}/benchmark.parquet")
                 flagged = {i for i, t in rows for r in items.collect() if " ".join(r["text"].split()) in " ".join(t.split())}

@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, exact_dedup, line_dedup, sharding, token_counts
+from quern.llm import bpe, common, exact_dedup, line_dedup, sharding, token_counts
 from quern.llm.exact_dedup import CuckooFilter
 
 random.seed(4)
@@ -42,35 +42,55 @@ def test_sharding(spark, docs_of, hard_rows, limit):
 
 # -- exact dedup ----------------------------------------------------------------
 def test_cuckoo_filter():
-    rng = np.random.default_rng(1)
-    keys = rng.integers(-(2**63), 2**63 - 1, 5000).tolist()
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000)).astype(np.uint64)
     own = CuckooFilter(16)
-    assert all(own.insert(k) for k in keys) and own.resizes > 3 and not any(own.insert(k) for k in keys)
-    assert all(own.delete(k) for k in keys[:2500]) and not own.delete(keys[0])
-    assert all(k in own for k in keys[2500:]) and not any(k in own for k in keys[:2500])
-    assert all(own.insert(k) for k in keys[:2500])
+    assert own.insert(keys).all() and own.resizes > 3 and not own.insert(keys).any() and len(own) == len(keys)
+    assert own.contains(keys).all() and sorted(own.keys().tolist()) == keys.tolist()
+    assert own.delete(keys[:2500]).all() and not own.delete(keys[:2500]).any()
+    assert own.contains(keys[2500:]).all() and not own.contains(keys[:2500]).any()
+    assert own.insert(np.repeat(keys[:2500], 2)).sum() == 2500
     back = CuckooFilter.of(own.row(3))
-    assert all(k in back for k in keys) and back.buckets == own.buckets
+    assert back.contains(keys).all() and back.buckets == own.buckets
+
+
+def test_overflow():
+    """Keys of one fingerprint and bucket: more than two buckets hold, so the filter grows until other bits tell them apart."""
+    same = (np.arange(11, dtype=np.uint64) << np.uint64(22)) | np.uint64((5 << 16) | 77)
+    own = CuckooFilter(1)
+    assert own.insert(same[:4]).all() and own.resizes == 0 and own.insert(same[4:]).all() and own.resizes > 0
+    assert own.contains(same).all() and len(own) == 11 and not own.contains(same + np.uint64(1 << 50)).any()
+    assert own.suspects(same + np.uint64(1 << 50)).all()  # a hit of the filter that the stored keys refute
+    rng, live = np.random.default_rng(3), set()
+    own = CuckooFilter(4)
+    for _ in range(60):
+        some = rng.integers(0, 3000, 90).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        if rng.random() < 0.6:
+            assert own.insert(some).sum() == len(set(some.tolist()) - live)
+            live |= set(some.tolist())
+        else:
+            assert own.delete(some).sum() == len(set(some.tolist()) & live)
+            live -= set(some.tolist())
+        assert sorted(own.keys().tolist()) == sorted(live)
 
 
 def test_index_table(spark, docs_of):
     docs = docs_of([(k, f"text {k % 40}") for k in range(60)])
     d = exact_dedup.digests(docs, 4)
     index = exact_dedup.insert_digests(exact_dedup.empty_index(spark), d)
-    live = lambda t: sum(len(CuckooFilter.of(r.asDict()).keys) for r in t.collect())
-    assert live(index) == 40
+    live = lambda t: sum(len(CuckooFilter.of(r.asDict())) for r in t.collect())
+    assert live(index) == 40 and exact_dedup.known(index, d).count() == 40
     fewer = exact_dedup.delete_digests(index, d.filter("doc_id < 10"))
-    assert live(fewer) == 30 and live(exact_dedup.insert_digests(fewer, d)) == 40
+    assert live(fewer) == 30 and exact_dedup.known(fewer, d).count() == 30 and live(exact_dedup.insert_digests(fewer, d)) == 40
 
 
 def test_exact_dedup(docs_of, hard_rows):
-    rows = hard_rows + [(20, "same"), (19, "same"), (21, "same"), (22, "Same")]
+    rows = hard_rows + [(20, "same"), (19, "same"), (21, "same"), (22, "Same"), (21, "another text of one id")]
     docs = docs_of(rows)
     assert {tuple(r) for r in exact_dedup.duplicates(docs).collect()} == {(5, 1), (20, 19), (21, 19)}
     kept = exact_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
     got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
-    want = sorted([(i or 0, t or "") for i, t in hard_rows if i not in (1, 5)] + [(1, hard_rows[0][1]), (19, "same"), (22, "Same")])
+    want = sorted([(i or 0, t or "") for i, t in hard_rows if i not in (1, 5)] + [(1, hard_rows[0][1]), (19, "same"), (22, "Same"), (21, "another text of one id")])
     assert got == want
     assert exact_dedup.duplicates(docs.limit(0)).count() == 0 and exact_dedup.deduplicate(docs.limit(0)).count() == 0
 
@@ -99,7 +119,9 @@ def test_line_dedup(docs_of, hard_rows):
 
 def test_in_many_shards(docs_of, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_BYTES", 100)
-    monkeypatch.setattr(exact_dedup, "SHARD_BYTES", 100)
+    monkeypatch.setattr(exact_dedup, "SHARD_ROWS", 5)
+    monkeypatch.setattr(exact_dedup, "AT_ONCE", 7)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rows = [(k, "\n".join(random.choices([f"line {j}" for j in range(9)], k=2))) for k in range(200)]
     got = line_dedup.dedup_lines(docs_of(rows))
     assert sorted((r["doc_id"], r["text"], r["n_lines"]) for r in got.collect()) == brute_lines(rows)
@@ -107,6 +129,7 @@ def test_in_many_shards(docs_of, monkeypatch):
     for i, t in rows:
         least.setdefault(t, i)
     assert {tuple(r) for r in exact_dedup.duplicates(docs_of(rows)).collect()} == {(i, least[t]) for i, t in rows if least[t] != i}
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(docs_of(rows + rows[:3])).collect()) == sorted(least.values())
 
 
 def test_perfect_hash():
@@ -145,14 +168,19 @@ def test_merge_all():
 def test_tree_concatenation():
     enc = reference()
     for text in ("a" * 9000, "ab" * 5000, "".join(random.choices("abcdeñé", k=9000)), "".join(random.choices(["the", "ing", "tion"], k=3000))):
-        for leaf in (3, 64, 1000):
-            assert bpe.encode_unsplit(text.encode(), leaf=leaf) == enc._encode_single_piece(text.encode())
+        for leaf in (64, 1000):
+            assert bpe.encode_text(text, leaf=leaf) == enc.encode_ordinary(text)
+    parts = ["a", "b", " ", "  ", "\n", "'", "re", "s", "'ll", "1", "23", "é", "漢", "!", "?!", "the", "\t", " \n ", "x" * 30, "ab" * 40, "y" * 700]
+    for k in range(120):  # cuts at every kind of place
+        text = "".join(random.choices(parts, k=random.randint(1, 60)))
+        assert bpe.encode_text(text, leaf=1 + k % 20) == enc.encode_ordinary(text)
 
 
-def test_bpe(docs_of, hard_rows):
+def test_bpe(docs_of, hard_rows, monkeypatch):
     rows = hard_rows + [(60, "foo\n\n" + "x" * 300 + "  bar \n" + "yz" * 200 + " end "), (61, "ab " * 100 + " " * 400 + "q")]
     enc = reference()
-    out = bpe.encode(docs_of(rows), long=100, leaf=16)
+    monkeypatch.setattr(bpe, "ARITY", 8)
+    out = bpe.encode(docs_of(rows), long=100, leaf=40)
     key = lambda x: (x[0] is None, x[0] or 0, x[1] or [])
     got = sorted([(r["doc_id"], r["tokens"]) for r in out.collect()], key=key)
     assert got == sorted([(i, None if t is None else enc.encode_ordinary(t)) for i, t in rows], key=key)
