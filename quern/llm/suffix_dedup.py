@@ -14,13 +14,14 @@ between neighbours.
    parse's (with its LCP array and range minima) combine into the order of that part of the corpus.
 3. A suffix with no trigger within ``L`` words has no such bucket; it is compared by a hash of its ``L`` words instead.
 
-Phrase suffixes are ordered by a 64-bit code, not by letters: which of two different ones comes first doesn't matter
-here. Words are stretches between white space, with their case.
+Words are ordered by a code of 32 bits instead of by letters: which of two different ones comes first doesn't matter here. They are
+stretches between white space, with their case.
 
 The result has one row for every maximal stretch of a document whose words all lie in repeats (of this document or another):
 ``doc_id, start_word, end_word`` (exclusive), ``n_words``.
 
-Defined cases: texts of fewer than ``L`` words have no repeats; null texts and ids have none; rows that repeat both id and text are one
+Defined cases: texts of fewer than ``L`` words have no repeats; null texts and ids have none; whole texts count, however long; other columns are
+ignored, whatever their names; rows that repeat both id and text are one
 document; rows of one id with other texts are compared like other documents; passages may overlap themselves; an empty table
 gives no rows.
 """
@@ -265,6 +266,28 @@ def _suffixes(bits: int, least: int):
     return run
 
 
+def dictionary_order(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of a dictionary, by prefix doubling over its distinct phrases (ranges of ``flat``).
+
+    Gives, for each phrase, where it stands in the dictionary, and the rank of every suffix there: by the words' codes, word after
+    word. Equal suffixes have equal ranks.
+    """
+    code = RangeHash(flat.astype(U64))(begin, begin + length)
+    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    size = length[first]
+    start = np.cumsum(size) - size
+    left = np.repeat(start + size, size) - np.arange(int(size.sum()))  # words to the end of the phrase
+    rank = np.unique(flat[ranges(begin[first], size)], return_inverse=True)[1] + 1
+    step, most = 1, int(size.max(initial=0))
+    while step < most:
+        after = np.zeros(len(rank), np.int64)
+        more = np.flatnonzero(left > step)
+        after[more] = rank[more + step]
+        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1] + 1
+        step *= 2
+    return start[number], rank
+
+
 class RangeMinimum:
     def __init__(self, values: np.ndarray):
         self.rows = [values]
@@ -319,11 +342,11 @@ def _order(bits: int, least: int):
                 differ = grid[s:e] != grid[s - 1 : e - 1]
                 lcp[s:e] = np.where(differ.any(1), differ.argmax(1), tail)
             least_of = RangeMinimum(lcp)
-            # suffixes of the dictionary: one entry for each first word, with the code of the rest of its phrase
+            # suffixes of the dictionary: one entry for each first word, with the rank of the rest of its phrase
+            place, ranks = dictionary_order(flat, begin[g], alpha[g])
             owner = np.repeat(np.arange(len(g)), count[g])
             at = ranges(begin[g], count[g])
-            stop = (begin[g] + alpha[g])[owner]
-            code, length = RangeHash(flat.astype(U64))(at, stop), stop - at
+            code, length = ranks[place[owner] + at - begin[g][owner]], (begin[g] + alpha[g])[owner] - at
             order = np.lexsort((rank[owner], code))
             owner, code, length, at = owner[order], code[order], length[order], at[order]
             r = rank[owner]
