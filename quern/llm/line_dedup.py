@@ -1,17 +1,19 @@
 """Line deduplication with a sharded minimal perfect hash.
 
-Lines are hashed to 64 bits. Each shard of hashes builds a minimal perfect hash (levels of bit arrays: a key rests at the
-first level where it has a bit to itself; its slot is the rank of that bit), which indexes compact arrays: a 32-bit
-fingerprint, the count, and the place of the first occurrence. The documents then probe the arrays with their
+A line is known by 96 bits: a 64-bit hash and a fingerprint of 32 bits from another hash. Each shard of hashes builds a minimal perfect hash
+(levels of bit arrays: a key rests at the first level where it has a bit to itself; its slot is the rank of that bit), which indexes compact
+arrays: the fingerprint, the count, and the place of the first occurrence. The documents then probe the arrays with their
 hashes, shard by shard; no line is joined with another line. The index is a table of one row for each shard and serves any
-documents, also others than those it was built from: a fingerprint that differs is a line never seen.
+documents, also others than those it was built from: a fingerprint that differs is a line never seen. Of lines with one hash and other
+fingerprints the first goes by the hash, and the rest by a second key made of both.
 
 A line is dropped where its count is ``least`` or more and it isn't the first occurrence, by ``doc_id`` and line number.
 Lines are compared without surrounding white space.
 
 Defined cases: blank lines are never dropped; a null text stays null with 0 lines; rows with a null ``doc_id`` are
 neither counted nor changed; rows that repeat both id and text are one document, and all keep the same lines; rows
-with one id and other texts are ordered by a hash of the text; an empty table gives no rows.
+with one id and other texts are ordered by a hash of the text; whole texts and lines count, however long; other columns are left out of the
+result, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -84,8 +87,9 @@ class PerfectHash:
         return cls(np.split(bits, np.cumsum(sizes)[:-1]) if len(sizes) else [], rest)
 
 
-def fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys ^ U64(0xF1A9)) >> U64(32)).astype(np.uint32)
+def second(h: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The key of a line whose hash another line has."""
+    return mix(h + mix(mark.astype(U64) + U64(0xF1A9)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -94,8 +98,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.xxhash64("text"))
 
 
-def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, line number and hash of every line that isn't blank."""
+def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, line number, hash and fingerprint of every line that isn't blank."""
     lists = pc.split_pattern(pc.fill_null(texts, "").cast(pa.large_string()), "\n")
     offsets = np.asarray(lists.offsets).astype(np.int64)
     flat = pc.utf8_trim_whitespace(lists.values.slice(offsets[0], offsets[-1] - offsets[0]))
@@ -107,7 +111,9 @@ def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(count)), count)
     number = np.arange(len(codes)) - np.repeat(offsets[:-1], count)
     keep = codes != (distinct.index("") if "" in distinct else -1)
-    return row[keep], number[keep], hash_strings(distinct)[codes[keep]]
+    codes = codes[keep]
+    other = pd.util.hash_array(np.asarray(distinct, dtype=object), hash_key="fedcba9876543210", categorize=False) if distinct else np.zeros(0, U64)
+    return row[keep], number[keep], hash_strings(distinct)[codes], (other >> U64(32)).astype(np.uint32)[codes]
 
 
 PROBES = "shard int, payload binary"
@@ -119,16 +125,16 @@ def probes(docs: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                row, number, h = line_hashes(part.column("text"))
+                row, number, h, mark = line_hashes(part.column("text"))
                 shard = (mix(h) >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
                 order = np.argsort(shard, kind="stable")
-                shard, row, number, h = shard[order], row[order], number[order], h[order]
+                shard, row, number, h, mark = shard[order], row[order], number[order], h[order], mark[order]
                 ids, ks = np.asarray(part.column("doc_id")), np.asarray(part.column("k"))
                 out, blobs = [], []
                 for s, c in zip(*runs(shard)):
                     r = row[s : s + c]
                     out.append(int(shard[s]))
-                    blobs.append(pack(h[s : s + c], ids[r], ks[r], number[s : s + c].astype(np.uint32)))
+                    blobs.append(pack(h[s : s + c], mark[s : s + c], ids[r], ks[r], number[s : s + c].astype(np.uint32)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "payload"])
 
@@ -137,7 +143,7 @@ def probes(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _occurrences(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    return tuple(np.concatenate(x) for x in zip(*(unpack(p.as_py(), "u8", "i8", "i8", "u4") for p in rows.column("payload"))))
+    return tuple(np.concatenate(x) for x in zip(*(unpack(p.as_py(), "u8", "u4", "i8", "i8", "u4") for p in rows.column("payload"))))
 
 
 INDEX = "shard int, hash binary, arrays binary"
@@ -147,17 +153,23 @@ def build_index(lines: DataFrame) -> DataFrame:
     """One row for each shard: the perfect hash, and its fingerprint, count and first-place arrays."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        h, ids, ks, number = _occurrences(rows)
-        order = np.lexsort((number, ks, ids, h))
-        h, ids, ks, number = h[order], ids[order], ks[order], number[order]
-        same = np.zeros(len(h), bool)  # a repeated row isn't another occurrence
-        same[1:] = (h[1:] == h[:-1]) & (ids[1:] == ids[:-1]) & (ks[1:] == ks[:-1]) & (number[1:] == number[:-1])
-        h, ids, ks, number = h[~same], ids[~same], ks[~same], number[~same]
-        starts, count = runs(h)
-        perfect = PerfectHash.build(h[starts])
-        slot = perfect.slots(h[starts])
+        h, mark, ids, ks, number = _occurrences(rows)
+        order = np.lexsort((number, ks, ids, mark, h))
+        h, mark, ids, ks, number = h[order], mark[order], ids[order], ks[order], number[order]
+        like = np.zeros(len(h), bool)
+        like[1:] = (h[1:] == h[:-1]) & (mark[1:] == mark[:-1])
+        same = like.copy()  # a repeated row isn't another occurrence
+        same[1:] &= (ids[1:] == ids[:-1]) & (ks[1:] == ks[:-1]) & (number[1:] == number[:-1])
+        h, mark, ids, ks, number, like = h[~same], mark[~same], ids[~same], ks[~same], number[~same], like[~same]
+        starts = np.flatnonzero(~like)
+        count = np.diff(np.append(starts, len(h)))
+        keys, mark = h[starts].copy(), mark[starts]
+        again = np.flatnonzero(keys[1:] == keys[:-1]) + 1
+        keys[again] = second(keys[again], mark[again])
+        perfect = PerfectHash.build(keys)
+        slot = perfect.slots(keys)
         put = lambda x, kind: (lambda a: (a.__setitem__(slot, x), a)[1])(np.zeros(len(slot), kind))
-        arrays = pack(put(fingerprint(h[starts]), np.uint32), put(count, np.int64), put(ids[starts], np.int64), put(ks[starts], np.int64), put(number[starts], np.uint32))
+        arrays = pack(put(mark, np.uint32), put(count, np.int64), put(ids[starts], np.int64), put(ks[starts], np.int64), put(number[starts], np.uint32))
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([perfect.dump()], pa.binary()), pa.array([arrays], pa.binary())], ["shard", "hash", "arrays"])
 
     return lines.groupBy("shard").applyInArrow(run, INDEX)
@@ -170,13 +182,17 @@ def probe(lines: DataFrame, index: DataFrame, least: int = 2) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, own: pa.Table) -> pa.Table:
         if not len(rows) or not len(own):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32())], names)
-        h, ids, ks, number = _occurrences(rows)
+        h, mark, ids, ks, number = _occurrences(rows)
         perfect = PerfectHash.load(own.column("hash")[0].as_py())
-        mark, count, first_id, first_k, first_line = unpack(own.column("arrays")[0].as_py(), "u4", "i8", "i8", "i8", "u4")
-        slot = perfect.slots(h)
-        known = slot >= 0
-        slot = np.maximum(slot, 0)
-        known &= mark[slot] == fingerprint(h)
+        marks, count, first_id, first_k, first_line = unpack(own.column("arrays")[0].as_py(), "u4", "i8", "i8", "i8", "u4")
+
+        def look(keys: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            slot = perfect.slots(keys)
+            return np.maximum(slot, 0), (slot >= 0) & (marks[np.maximum(slot, 0)] == mark)
+
+        slot, known = look(h, mark)
+        rest = np.flatnonzero(~known)
+        slot[rest], known[rest] = look(second(h[rest], mark[rest]), mark[rest])
         first = (first_id[slot] == ids) & (first_k[slot] == ks) & (first_line[slot] == number)
         drop = known & (count[slot] >= least) & ~first
         return pa.table([pa.array(ids[drop]), pa.array(ks[drop]), pa.array(number[drop].astype(np.int32))], names)
@@ -187,22 +203,27 @@ def probe(lines: DataFrame, index: DataFrame, least: int = 2) -> DataFrame:
 def dedup_lines(docs: DataFrame, least: int = 2) -> DataFrame:
     """``doc_id, text, n_lines, n_dropped`` for every row."""
     bits = bits_for(text_bytes(docs), SHARD_BYTES)
-    index = cut(build_index(probes(docs, bits)))
-    drops = probe(probes(docs, bits), index, least).groupBy("doc_id", "k").agg(F.sort_array(F.collect_set("line")).alias("drops"))
+    lines = cut(probes(docs, bits))
+    index = cut(build_index(lines))
+    drops = probe(lines, index, least).groupBy("doc_id", "k").agg(F.sort_array(F.collect_set("line")).alias("drops"))
     drops = cut(drops)
     size = drops.agg(F.sum(F.size("drops") * 4 + 32)).first()[0] or 0
     rows = keyed(docs).join(F.broadcast(drops) if size <= BROADCAST_BYTES else drops, ["doc_id", "k"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n, gone = [], [], []
-            for text, drop in zip(batch.column("text").to_pylist(), batch.column("drops").to_pylist()):
-                total = 0 if text is None else text.count("\n") + 1
-                if drop:
-                    no = set(drop)
-                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in no)
-                out.append(text), n.append(total), gone.append(len(drop) if drop else 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), pa.array(n, pa.int32()), pa.array(gone, pa.int32())], ["doc_id", "text", "n_lines", "n_dropped"])
+            for part in slices(batch, "text", 8 << 20):
+                text, drop = part.column("text"), part.column("drops")
+                lists = pc.split_pattern(text.cast(pa.large_string()), "\n")
+                count = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+                gone = np.asarray(pc.fill_null(pc.list_value_length(drop), 0)).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(count)])
+                keep = np.ones(offsets[-1], bool)
+                keep[np.repeat(offsets[:-1], gone) + np.asarray(pc.list_flatten(drop)).astype(np.int64)] = False
+                left = np.concatenate([[0], np.cumsum(keep)])[offsets]
+                bare = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), pc.list_flatten(lists).filter(pa.array(keep)), mask=pc.is_null(text))
+                out = pc.if_else(pa.array(gone > 0), pc.binary_join(bare, pa.scalar("\n", pa.large_string())), text.cast(pa.large_string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), out, pa.array(count.astype(np.int32)), pa.array(gone.astype(np.int32))], ["doc_id", "text", "n_lines", "n_dropped"])
 
     return rows.select("doc_id", "text", "drops").mapInArrow(run, "doc_id long, text string, n_lines int, n_dropped int")
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -147,6 +148,25 @@ def test_foreign_lines(docs_of):
     assert [(r["doc_id"], r["line"]) for r in hits.collect()] == [(5, 0)]
 
 
+def test_lines_of_one_hash(docs_of, monkeypatch):
+    """Lines whose 64-bit hashes are equal are told apart by their fingerprints."""
+    real = line_dedup.hash_strings
+    rows = [(k, "\n".join(random.choices([f"line {j}" for j in range(9)], k=3))) for k in range(60)]
+    monkeypatch.setattr(line_dedup, "hash_strings", lambda x: real(x) % np.uint64(3))
+    lines = line_dedup.line_hashes(pa.array([t for _, t in rows]))
+    assert len(set(lines[2].tolist())) <= 3 and len(set(lines[3].tolist())) == 9
+    payload = line_dedup.pack(lines[2], lines[3], np.array([rows[k][0] for k in lines[0]]), np.zeros(len(lines[0]), np.int64), lines[1].astype(np.uint32))
+    frame = docs_of(rows).sparkSession.createDataFrame([(0, bytearray(payload))], line_dedup.PROBES)
+    got = {(r["doc_id"], r["line"]) for r in line_dedup.probe(frame, line_dedup.build_index(frame)).collect()}
+    seen, want = set(), set()
+    for i, t in rows:
+        for n, line in enumerate(t.split("\n")):
+            if line in seen:
+                want.add((i, n))
+            seen.add(line)
+    assert got == want
+
+
 # -- tokens ---------------------------------------------------------------------
 def reference():
     return tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.load_ranks(token_counts.VOCABULARY), special_tokens={})
