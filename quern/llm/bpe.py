@@ -278,9 +278,8 @@ def _finish(vocabulary: str):
         for batch in batches:
             tokens = [x.values.to_numpy() for x in batch.column("tokens")]
             same = [hashlib.sha256(decode_flat(t, vocabulary)).hexdigest() == sha for t, sha in zip(tokens, batch.column("sha").to_pylist(), strict=True)]
-            for k, copies in enumerate(batch.column("copies").to_pylist()):
-                for _ in range(copies):
-                    yield _rows(batch.column("doc_id").slice(k, 1), tokens[k : k + 1], same[k : k + 1])
+            copies = np.asarray(batch.column("copies"))
+            yield _rows(batch.column("doc_id"), tokens, same).take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
     return run
 
