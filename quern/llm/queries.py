@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.SQL,
     "op3_ngram_jaccard": ngram_jaccard.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_line_dedup": line_dedup.SQL,

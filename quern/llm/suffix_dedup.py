@@ -401,3 +401,16 @@ def repeats(docs: DataFrame, least: int = L) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH w AS (
+  SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+p AS (
+  SELECT d, doc_id, unnest(list_transform(range(0, len(w) - {L - 1}), lambda i: array_to_string(w[i + 1:i + {L}], ' '))) AS s, unnest(range(0, len(w) - {L - 1})) AS p
+  FROM (SELECT row_number() OVER () AS d, * FROM w) WHERE len(w) >= {L}),
+h AS (SELECT d, doc_id, p FROM (SELECT d, doc_id, p, count(*) OVER (PARTITION BY s) AS n FROM p) WHERE n > 1),
+g AS (SELECT *, sum(CASE WHEN p - before <= {L} THEN 0 ELSE 1 END) OVER (PARTITION BY d ORDER BY p) AS g FROM (SELECT *, lag(p) OVER (PARTITION BY d ORDER BY p) AS before FROM h))
+SELECT doc_id, CAST(min(p) AS INTEGER) AS start_word, CAST(max(p) + {L} AS INTEGER) AS end_word, CAST(max(p) + {L} - min(p) AS INTEGER) AS n_words FROM g GROUP BY d, doc_id, g
+"""
