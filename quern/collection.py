@@ -134,9 +134,10 @@ class Collection:
     def removed_count(self, ids: DataFrame) -> int:
         return self.docs.join(ids.select("id").distinct(), "id", "left_semi").count()
 
-    def update(self, ids: Iterable[str], rows: DataFrame | Iterable[Mapping]) -> Collection:
-        """Remove, then insert; nothing changes if the new rows are invalid."""
-        return self.remove(*ids).insert(rows)
+    def update(self, ids: DataFrame | Iterable[str], rows: DataFrame | Iterable[Mapping]) -> Collection:
+        """Remove, then insert; nothing changes if the new rows are invalid. Many ids come as a frame with a column ``id``."""
+        rest = self.remove_all(ids) if isinstance(ids, DataFrame) else self.remove(*ids)
+        return rest.insert(rows)
 
     def patch(self, id: str, changes: Mapping) -> Collection:
         """Set fields of one document; a field given as None becomes null. The document keeps its id and gets a new place."""
@@ -181,11 +182,12 @@ class Collection:
         kinds = [SchemaType.STRING, SchemaType.STRING_ARRAY] if self.search_arrays else [SchemaType.STRING]
         return self.schema.paths_of(*kinds)
 
-    def _arrays(self) -> frozenset[str]:
+    @property
+    def array_paths(self) -> frozenset[str]:
         return frozenset(self.schema.paths_of(SchemaType.STRING_ARRAY))
 
     def postings(self, props: list[str]) -> DataFrame:
-        return index.BUILDERS[self.algorithm](self.docs, props, self.tokenizer, self._arrays())
+        return index.BUILDERS[self.algorithm](self.docs, props, self.tokenizer, self.array_paths)
 
     def indexed(self, persist: bool = True) -> Collection:
         """With postings, vocabulary and statistics of all text fields kept for the searches to come."""
@@ -194,7 +196,7 @@ class Collection:
         if persist:
             postings = postings.persist()
         vocab = index.vocabulary(postings)
-        return replace(self, tables=Tables(postings, vocab.persist() if persist else vocab, index.length_stats(self.docs, props, self.tokenizer, self._arrays())))
+        return replace(self, tables=Tables(postings, vocab.persist() if persist else vocab, index.length_stats(self.docs, props, self.tokenizer, self.array_paths)))
 
     def dispose(self) -> None:
         if self.tables is not None:
@@ -235,16 +237,21 @@ class Collection:
         if self.tables is not None:
             postings, vocab, stats = self.tables.postings, self.tables.vocab, self.tables.stats
         else:
-            postings, vocab = self.postings(props), None
-            needed = self.algorithm is Algorithm.BM25
-            stats = index.length_stats(self.docs, props, self.tokenizer, self._arrays()) if needed else index.Stats(0, {})
+            # without an index the documents are read once, and only words that answer a token leave them
+            vocab, test = None, rank.answers(tokens, exact, tolerance)
+            if self.algorithm is Algorithm.BM25:
+                postings, stats = index.bm25_matches(self.docs, props, self.tokenizer, self.array_paths, test)
+            elif self.algorithm is Algorithm.QPS:
+                postings, stats = index.qps_postings(self.docs, props, self.tokenizer, self.array_paths, test), index.Stats(0, {})
+            else:
+                postings, stats = index.pt15_postings(self.docs, props, self.tokenizer, self.array_paths, test), index.Stats(0, {})
         out = rank.rank(
             self.algorithm, postings, vocab, stats, props, tokens, exact=exact, tolerance=tolerance, boost=boost or {}, threshold=threshold,
             allowed=None if allowed is None else allowed.select("doc_ord"), params=self.params, strict=self.strict_compat,
         )
         if exact and term:
             whole = [rf"\b{_quote(t)}\b" for t in term.split()]
-            ok = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(p).rlike(w) for w in whole]) for p in props if p not in self._arrays()])
+            ok = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(p).rlike(w) for w in whole]) for p in props if p not in self.array_paths])
             out = out.join(self.docs.filter(ok).select("doc_ord"), "doc_ord", "left_semi")
         return out
 
@@ -264,6 +271,8 @@ class Collection:
         scored = self.ranked(term, where, properties, exact, tolerance, boost, threshold)
         if self.score_digits is not None:
             scored = scored.withColumn("score", F.round("score", self.score_digits))
+        if facets or group_by is not None:
+            scored = index.keep(scored)
         ordered = scored if not extra else scored.join(self.docs.select("doc_ord", *extra), "doc_ord")
         hits = shape.page(ordered, self.docs, order, limit, offset)
         out = SearchResult(hits, scored.agg(F.count("*").alias("count")))

@@ -1,14 +1,12 @@
 """Highlighting: match positions, excerpts and marked text. Offsets count code points.
 
-``positions`` stays in the JVM: candidate starts are found by comparing substrings of the lower-cased text. For long texts
-``positions_py`` does the same in an Arrow function in one pass per term.
+Everything stays in the JVM, in time linear in the text.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,22 +17,19 @@ def terms_of(query: str) -> list[str]:
     return [t for t in re.split(r"\s+", query) if t]
 
 
-def _matches(text: Column, hay: Column, needle: str, whole_words: bool) -> Column:
-    n = len(needle)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(hay) - n, F.lit(0)))
-
-    def fits(i: Column) -> Column:
-        ok = F.substring(hay, i + 1, F.lit(n)) == needle
-        if whole_words:
-            edge = F.lit("[\\p{L}0-9_]")
-            before = F.when(i > 0, F.substring(hay, i, F.lit(1))).otherwise(F.lit(""))
-            ok = ok & ~F.rlike(before, edge) & ~F.rlike(F.substring(hay, i + 1 + n, F.lit(1)), edge)
-        return ok
+_EDGE = "[\\p{L}0-9_]"
 
-    def mark(i: Column) -> Column:
-        return F.struct(i.cast("int").alias("start"), (i + n).cast("int").alias("end"), F.substring(text, i + 1, F.lit(n)).alias("token"))
 
-    return F.transform(F.filter(starts, fits), mark)
+def _matches(text: Column, hay: Column, needle: str, whole_words: bool) -> Column:
+    """Splitting before every place where the needle begins, overlapping ones included, leaves pieces whose lengths add up to the places."""
+    n, quoted = len(needle), "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    place = f"(?<!{_EDGE})(?={quoted}(?!{_EDGE}))" if whole_words else f"(?={quoted})"
+    pieces = F.split(hay, place)
+    before = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    later = F.aggregate(before, none, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.array_append(a["out"], a["at"] + F.length(p)).alias("out")), lambda a: a["out"])
+    starts = F.concat(F.when(F.rlike(hay, F.lit("\\A" + place)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), later)
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.substring(text, i + 1, F.lit(n)).alias("token")))
 
 
 def positions(text: Column, query: str, case_sensitive: bool = False, whole_words: bool = False) -> Column:
@@ -46,28 +41,6 @@ def positions(text: Column, query: str, case_sensitive: bool = False, whole_word
     return F.when(text.isNotNull(), F.array_sort(F.concat(*found)))
 
 
-def positions_py(query: str, case_sensitive: bool = False, whole_words: bool = False):
-    """The same as an Arrow function of a text column, linear in the text."""
-    terms = terms_of(query)
-
-    @F.pandas_udf(SCHEMA)
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            hay, out = text if case_sensitive else text.lower(), []
-            for term in terms:
-                needle = re.escape(term if case_sensitive else term.lower())
-                rx = rf"(?<![^\W])(?={needle}(?![^\W]))" if whole_words else f"(?={needle})"
-                for m in re.finditer(rx, hay):
-                    out.append({"start": m.start(), "end": m.start() + len(term), "token": text[m.start() : m.start() + len(term)]})
-            return sorted(out, key=lambda x: (x["start"], x["end"]))
-
-        return texts.map(one)
-
-    return run
-
-
 def excerpt(text: Column, marks: Column, length: int) -> Column:
     """About ``length`` characters around the first match, with dots where text is cut."""
     n = F.length(text)

@@ -103,6 +103,14 @@ def replace_diacritics(c: Column) -> Column:
     return F.translate(c, _FROM, _TO)
 
 
+@lru_cache(maxsize=64)
+def letter_moves(language: str) -> tuple[str, str]:
+    """Those of the marks' replacements whose letters the language's splitter keeps; all give letters that it keeps."""
+    own = re.compile(splitter(language).removeprefix("(?i)"))
+    pairs = [(a, b) for a, b in zip(_FROM, _TO) if a == a.lower() and not own.fullmatch(a)]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def replace_diacritics_py(s: str) -> str:
     return s.translate(str.maketrans(_FROM, _TO))
 
@@ -163,8 +171,12 @@ class Tokenizer:
             tokens = self.custom(text)
         elif prop is not None and prop in self.skip:
             tokens = self._normal(F.array(text), prop)
+        elif self.stop_words is None and not self.stemming and self.stemmer is None:
+            # nothing looks at single tokens: marks come off the whole text, where only letters of the language can be part of a token
+            found, put = letter_moves(self.language)
+            tokens = F.array_remove(F.split(F.translate(F.lower(text), found, put) if found else F.lower(text), splitter(self.language)), "")
         else:
-            raw = F.filter(F.split(F.lower(text), splitter(self.language)), lambda x: x != "")
+            raw = F.array_remove(F.split(F.lower(text), splitter(self.language)), "")
             tokens = self._normal(raw if self.allow_duplicates else F.array_distinct(raw), prop)
         if not self.allow_duplicates:
             tokens = F.array_distinct(tokens)

@@ -6,7 +6,9 @@ postings needs no shuffle (QPS and repeated tokens group by document and word, w
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import deque
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,29 @@ from ..functions.text import Tokenizer
 from ..types import Algorithm
 
 BUCKET = 1 << 16
+#: a table of at most so many bytes in fewer files than there are cores is dealt out to all of them
+SPREAD_BYTES = 512 << 20
+#: frames kept by searches that are still cached; older ones are released
+KEPT: deque[DataFrame] = deque()
+KEEP = 16
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cache a small frame that several plans of one search read. The oldest of more than ``KEEP`` is released; it would be computed again."""
+    df = df.persist()
+    KEPT.append(df)
+    while len(KEPT) > KEEP:
+        KEPT.popleft().unpersist()
+    return df
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``doc_ord``) in as many parts as there are cores, where a small table comes in fewer files."""
+    files, cores = len(rows.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism
+    if not 0 < files < cores:
+        return rows
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores, "doc_ord") if size <= SPREAD_BYTES else rows
 
 
 def position(n: Column, total: Column) -> Column:
@@ -39,7 +64,8 @@ def bm25_postings(docs: DataFrame, props: list[str], tokenizer: Tokenizer, array
     parts = []
     for p in props:
         repeats = tokenizer.allow_duplicates or p in arrays
-        rows = docs.filter(F.col(p).isNotNull()).select("doc_ord", tokens_of(docs, p, tokenizer, p in arrays).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+        rows = spread(docs.filter(F.col(p).isNotNull()).select("doc_ord", F.col(p)))
+        rows = rows.select("doc_ord", tokens_of(rows, p, tokenizer, p in arrays).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
         if repeats:
             rows = rows.select("doc_ord", "n_tokens", F.explode("tokens").alias("word")).groupBy("doc_ord", "n_tokens", "word").agg((F.count("*") / F.col("n_tokens")).alias("tf"))
         else:
@@ -48,40 +74,75 @@ def bm25_postings(docs: DataFrame, props: list[str], tokenizer: Tokenizer, array
     return _union(parts)
 
 
-def _sentences(tokenizer: Tokenizer, prop: str):
-    return lambda text: F.transform(F.split(text, "[.?!]"), lambda s: tokenizer.column(s, prop))
+@dataclass
+class Stats:
+    documents: int
+    average: dict[str, float]
 
 
-def qps_postings(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays: frozenset[str] = frozenset()) -> DataFrame:
-    """``prop, word, doc_ord, occ, mask, n_tokens``: occurrences by sentence, and a 20-bit mask of sentences."""
+def bm25_matches(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays: frozenset[str], test: Callable[[Column], Column]) -> tuple[DataFrame, Stats]:
+    """Postings of the words that pass ``test``, and the length statistics, from one reading of the documents.
+
+    What is kept for both is a small row for each document: its lengths and its matching tokens.
+    """
+    rows = spread(docs.select("doc_ord", *(F.col(p).alias(f"p{k}") for k, p in enumerate(props))))
+    tokens = [F.when(F.col(f"p{k}").isNotNull(), tokens_of(rows, f"p{k}", _renamed(tokenizer, p, f"p{k}"), p in arrays)).alias(f"t{k}") for k, p in enumerate(props)]
+    rows = rows.select("doc_ord", *tokens)
+    rows = keep(rows.select("doc_ord", *(F.when(F.col(f"t{k}").isNotNull(), F.size(f"t{k}")).alias(f"n{k}") for k in range(len(props))), *(F.filter(f"t{k}", test).alias(f"m{k}") for k in range(len(props)))))
     parts = []
-    for p in props:
-        elements = F.filter(F.col(p), lambda x: x.isNotNull()) if p in arrays else F.array(F.col(p))
+    for k, p in enumerate(props):
+        hits = rows.filter(F.size(f"m{k}") > 0).select("doc_ord", F.col(f"n{k}").alias("n_tokens"), F.explode(f"m{k}").alias("word"))
+        if tokenizer.allow_duplicates or p in arrays:
+            hits = hits.groupBy("doc_ord", "n_tokens", "word").agg((F.count("*") / F.col("n_tokens")).alias("tf"))
+        else:
+            hits = hits.withColumn("tf", F.lit(1.0) / F.col("n_tokens"))
+        parts.append(hits.select(F.lit(p).alias("prop"), "word", "doc_ord", "tf", "n_tokens"))
+    return _union(parts), _stats(rows, props)
+
 
-        def numbered(sentences: Column) -> Column:
-            # a sentence of more than one token ends a quantum; only the first 19 ends matter
-            ends = F.slice(F.filter(F.transform(sentences, lambda s, i: F.when(F.size(s) > 1, i)), lambda i: i.isNotNull()), 1, 19)
-            each = F.transform(sentences, lambda s, i: F.transform(s, lambda t: F.struct(t.alias("word"), F.size(F.filter(ends, lambda e: e < i)).alias("q"))))
-            return F.flatten(each)
+def _renamed(tokenizer: Tokenizer, prop: str, name: str) -> Tokenizer:
+    """A tokenizer that treats ``name`` as it does ``prop``."""
+    move = lambda names: frozenset({name}) if prop in names else frozenset()
+    return replace(tokenizer, skip=move(tokenizer.skip), stem_skip=move(tokenizer.stem_skip)) if tokenizer.skip or tokenizer.stem_skip else tokenizer
 
-        rows = docs.filter(F.col(p).isNotNull()).select("doc_ord", F.transform(elements, _sentences(tokenizer, p)).alias("s"))
-        rows = rows.select("doc_ord", F.flatten(F.transform("s", numbered)).alias("t")).withColumn("n_tokens", F.size("t"))
-        rows = rows.select("doc_ord", "n_tokens", F.explode("t").alias("t"))
+
+def _quanta(sentences: Column, test: Callable[[Column], Column] | None) -> Column:
+    """``word, q`` of the tokens of one text's sentences. A sentence of more than one token ends a quantum; only the first 19 ends matter."""
+    ends = F.slice(F.filter(F.transform(sentences, lambda s, i: F.when(F.size(s) > 1, i)), lambda i: i.isNotNull()), 1, 19)
+    each = F.transform(sentences, lambda s, i: F.struct((s if test is None else F.filter(s, test)).alias("w"), F.size(F.filter(ends, lambda e: e < i)).alias("q")))
+    return F.flatten(F.transform(each, lambda e: F.transform(e["w"], lambda t: F.struct(t.alias("word"), e["q"].alias("q")))))
+
+
+def qps_postings(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays: frozenset[str] = frozenset(), test: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``prop, word, doc_ord, occ, mask, n_tokens``: occurrences by sentence, and a 20-bit mask of sentences. With ``test``, of the words
+    that pass it only."""
+    parts = []
+    for p in props:
+        elements = F.filter(F.col(p), lambda x: x.isNotNull()) if p in arrays else F.array(F.col(p))
+        rows = spread(docs.filter(F.col(p).isNotNull()).select("doc_ord", F.col(p)))
+        rows = rows.select("doc_ord", F.transform(elements, lambda text: F.transform(F.split(text, "[.?!]"), lambda s: tokenizer.column(s, p))).alias("s"))
+        n = F.aggregate(F.flatten("s"), F.lit(0), lambda a, s: a + F.size(s))
+        rows = rows.select("doc_ord", n.alias("n_tokens"), F.explode(F.flatten(F.transform("s", lambda s: _quanta(s, test)))).alias("t"))
         rows = rows.groupBy("doc_ord", "n_tokens", F.col("t.word").alias("word")).agg(F.count("*").cast("int").alias("occ"), F.bit_or(F.expr("shiftleft(1, t.q)")).alias("mask"))
         parts.append(rows.select(F.lit(p).alias("prop"), "word", "doc_ord", "occ", "mask", "n_tokens"))
     return _union(parts)
 
 
-def pt15_postings(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays: frozenset[str] = frozenset()) -> DataFrame:
-    """``prop, word, doc_ord, bucket, n_tokens``; prefixes of words stay virtual."""
+def pt15_postings(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays: frozenset[str] = frozenset(), test: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``prop, word, doc_ord, bucket, n_tokens``; prefixes of words stay virtual. With ``test``, of the words that pass it only."""
     parts = []
     for p in props:
-        rows = docs.filter(F.col(p).isNotNull())
+        rows = spread(docs.filter(F.col(p).isNotNull()).select("doc_ord", F.col(p)))
         if p in arrays:
             rows = rows.select("doc_ord", F.explode(p).alias("e")).filter("e IS NOT NULL").select("doc_ord", tokenizer.column(F.col("e"), p).alias("tokens"))
         else:
             rows = rows.select("doc_ord", tokenizer.column(F.col(p), p).alias("tokens"))
-        rows = rows.withColumn("n_tokens", F.size("tokens")).select("doc_ord", "n_tokens", F.posexplode("tokens").alias("n", "word"))
+        rows = rows.withColumn("n_tokens", F.size("tokens"))
+        if test is None:
+            rows = rows.select("doc_ord", "n_tokens", F.posexplode("tokens").alias("n", "word"))
+        else:
+            placed = F.filter(F.transform("tokens", lambda t, i: F.when(test(t), F.struct(i.alias("n"), t.alias("word")))), lambda x: x.isNotNull())
+            rows = rows.select("doc_ord", "n_tokens", F.inline(placed))
         parts.append(rows.select(F.lit(p).alias("prop"), "word", "doc_ord", (14 - position(F.col("n"), F.col("n_tokens"))).alias("bucket"), "n_tokens"))
     return _union(parts)
 
@@ -90,14 +151,9 @@ BUILDERS = {Algorithm.BM25: bm25_postings, Algorithm.QPS: qps_postings, Algorith
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:
-    """``prop, word, df``."""
-    return postings.groupBy("prop", "word").agg(F.countDistinct("doc_ord").alias("df"))
-
-
-@dataclass
-class Stats:
-    documents: int
-    average: dict[str, float]
+    """``prop, word, df``. Only PT15's postings can hold a word of a document twice."""
+    once = "n_tokens" in postings.columns and "bucket" not in postings.columns
+    return postings.groupBy("prop", "word").agg((F.count("*") if once else F.countDistinct("doc_ord")).alias("df"))
 
 
 def length_stats(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays: frozenset[str] = frozenset()) -> Stats:
@@ -109,8 +165,12 @@ def length_stats(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays
     """
     if not props:
         return Stats(docs.count(), {})
-    sizes = {p: F.when(F.col(p).isNotNull(), F.size(tokens_of(docs, p, tokenizer, p in arrays))) for p in props}
-    rows = docs.select("doc_ord", *(c.alias(f"n{k}") for k, c in enumerate(sizes.values())))
+    rows = spread(docs.select("doc_ord", *(F.col(p).alias(f"p{k}") for k, p in enumerate(props))))
+    sizes = [F.when(F.col(f"p{k}").isNotNull(), F.size(tokens_of(rows, f"p{k}", _renamed(tokenizer, p, f"p{k}"), p in arrays))) for k, p in enumerate(props)]
+    return _stats(rows.select("doc_ord", *(c.alias(f"n{k}") for k, c in enumerate(sizes))), props)
+
+
+def _stats(rows: DataFrame, props: list[str]) -> Stats:
     row = rows.agg(F.count("*").alias("all"), *(f(f"n{k}").alias(f"{name}{k}") for k in range(len(props)) for name, f in (("c", F.count), ("s", F.sum)))).first()
     out = {}
     for k, p in enumerate(props):

@@ -43,13 +43,25 @@ def _by_prop(values: Mapping[str, float], props: list[str]) -> Column:
     return out
 
 
+#: tokens that one mask column takes
+MASK = 63
+
+
+def answers(tokens: list[str], exact: bool, tolerance: int):
+    """A test of words: whether any token is answered."""
+    return lambda word: reduce(lambda a, b: a | b, [matches(word, t, exact, tolerance) for t in tokens])
+
+
 def found(postings: DataFrame, props: list[str], tokens: list[str], exact: bool, tolerance: int) -> DataFrame:
-    """Postings whose word answers a token; ``hits``: of how many tokens, ``bits``: of which (the first 63)."""
+    """Postings whose word answers a token; ``hits``: of how many tokens, ``bits0, bits1, ...``: of which, ``MASK`` in each."""
     tests = [matches(F.col("word"), t, exact, tolerance) for t in tokens]
     rows = postings.filter(F.col("prop").isin(props) & reduce(lambda a, b: a | b, tests))
     hits = reduce(lambda a, b: a + b, [F.when(t, 1).otherwise(0) for t in tests])
-    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(t, F.lit(1 << min(k, 62)).cast("long")).otherwise(F.lit(0).cast("long")) for k, t in enumerate(tests)])
-    return rows.withColumn("hits", hits).withColumn("bits", bits)
+    rows = rows.withColumn("hits", hits)
+    for w, first in enumerate(range(0, len(tests), MASK)):
+        some = [F.when(t, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, t in enumerate(tests[first : first + MASK])]
+        rows = rows.withColumn(f"bits{w}", reduce(lambda a, b: a.bitwiseOR(b), some))
+    return rows
 
 
 def rank_bm25(postings: DataFrame, vocab: DataFrame | None, stats: Stats, props, tokens, *, exact, tolerance, boost, threshold, allowed: DataFrame | None, params: BM25Params, strict: bool) -> DataFrame:
@@ -64,9 +76,9 @@ def rank_bm25(postings: DataFrame, vocab: DataFrame | None, stats: Stats, props,
     rows = rows.withColumn("s", one * _by_prop(boost, props) * F.col("hits"))
     if threshold >= 1 or len(tokens) == 1:
         return rows.groupBy("doc_ord").agg(F.sum("s").alias("score"))
-    by_prop = rows.groupBy("doc_ord", "prop").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits"), F.bit_or("bits").alias("bits"))
-    k = min(len(tokens), 63)
-    full = F.max(F.col("hits") == len(tokens)) if strict else F.max(F.bit_count("bits") >= k)
+    masks = [c for c in rows.columns if c.startswith("bits")]
+    by_prop = rows.groupBy("doc_ord", "prop").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits"), *(F.bit_or(m).alias(m) for m in masks))
+    full = F.max(F.col("hits") == len(tokens)) if strict else F.max(reduce(lambda a, b: a + b, [F.bit_count(m) for m in masks]) >= len(tokens))
     ranked = by_prop.groupBy("doc_ord").agg(F.sum("s").alias("score"), full.alias("full"))
     if threshold <= 0:
         return ranked.filter("full").select("doc_ord", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from .functions.stemming import stem_array
 from .functions.text import _FROM, _TO, Tokenizer, bounded_levenshtein, replace_diacritics, sort_key, splitter, stop_words
 from .operators import filters as f
 from .plans import index
+from .sources import snapshots
 from .types import FacetConfig, FacetSorting, GeoPoint, GroupBy, GroupReduce, NumberFacetRange, SortBy, SortOrder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,17 +90,25 @@ def tokenize_dups(spark, sf):
 _EN = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(stop_words("english"))) + "]"
 
 
-@query(f"SELECT doc_id, CAST(len(list_filter(list_distinct(list_filter(regexp_split_to_array(lower(text), '{splitter('english').replace(chr(39), chr(39) * 2)}'), lambda x: x <> '')), lambda x: NOT list_contains({_EN}, x))) AS INTEGER) AS n FROM documents WHERE lang = 'en'")
+_BARE = f"list_filter(regexp_split_to_array(lower(text), '{splitter('english').replace(chr(39), chr(39) * 2)}'), lambda x: x <> '' AND NOT list_contains({_EN}, x))"
+
+
+@query(f"SELECT doc_id, CAST(len(list_distinct(list_transform({_BARE}, lambda x: translate(x, '{_FROM}', '{_TO}')))) AS INTEGER) AS n FROM documents")
 def tokenize_stopwords(spark, sf):
     tokens = Tokenizer(use_default_stop_words=True).column(F.col("text"))
-    return _t(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.size(tokens).alias("n"))
+    return _t(spark, sf, "documents").select("doc_id", F.size(tokens).alias("n"))
+
 
+_LANGS = {"en": "english", "de": "german", "fr": "french", "es": "spanish"}
 
-@query(" UNION ALL ".join(f"SELECT doc_id, lang, CAST(len({tok('text', n)}) AS INTEGER) AS n FROM documents WHERE lang = '{k}'" for k, n in (("de", "german"), ("fr", "french"), ("es", "spanish"))))
+
+@query(" UNION ALL ".join(f"SELECT doc_id, lang, CAST(len({tok('text', n)}) AS INTEGER) AS n FROM documents WHERE lang = '{k}'" for k, n in _LANGS.items()))
 def tokenize_languages(spark, sf):
     docs = _t(spark, sf, "documents")
-    n = F.when(docs["lang"] == "de", F.size(Tokenizer("german").column(docs["text"]))).when(docs["lang"] == "fr", F.size(Tokenizer("fr").column(docs["text"]))).otherwise(F.size(Tokenizer("es").column(docs["text"])))
-    return docs.filter("lang IN ('de', 'fr', 'es')").select("doc_id", "lang", n.alias("n"))
+    n = F.lit(None).cast("int")
+    for k in _LANGS:
+        n = F.when(docs["lang"] == k, F.size(Tokenizer(k).column(docs["text"]))).otherwise(n)
+    return docs.select("doc_id", "lang", n.alias("n")).filter("n IS NOT NULL")
 
 
 @query(f"SELECT doc_id, translate(text, '{_FROM}', '{_TO}') AS text FROM documents")
@@ -106,11 +116,11 @@ def diacritics(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", replace_diacritics(F.col("text")).alias("text"))
 
 
-@query("""SELECT p_partkey, CAST(CASE WHEN starts_with(w, 'smal') THEN 0 WHEN levenshtein('smal', w) <= 3 THEN levenshtein('smal', w) END AS INTEGER) AS edits,
-CAST(levenshtein('gear', w) AS INTEGER) AS plain FROM (SELECT p_partkey, string_split(p_name, ' ')[1] AS w FROM part)""")
+@query("""SELECT p_partkey, CAST(k AS INTEGER) AS k, CAST(CASE WHEN starts_with(w, 'smal') THEN 0 WHEN levenshtein('smal', w) <= 3 THEN levenshtein('smal', w) END AS INTEGER) AS edits,
+CAST(levenshtein('gear', w) AS INTEGER) AS plain FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS k FROM part)""")
 def edit_distance(spark, sf):
-    w = F.split("p_name", " ")[0]
-    return _t(spark, sf, "part").select("p_partkey", bounded_levenshtein(F.lit("smal"), w, 3).cast("int").alias("edits"), F.levenshtein(F.lit("gear"), w).alias("plain"))
+    words = _t(spark, sf, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("k", "w"))
+    return words.select("p_partkey", "k", bounded_levenshtein(F.lit("smal"), F.col("w"), 3).cast("int").alias("edits"), F.levenshtein(F.lit("gear"), "w").alias("plain"))
 
 
 @query()
@@ -204,9 +214,10 @@ def bm25_threshold0(spark, sf):
     return every(c, c.ranked("erin anthe", threshold=0))
 
 
-@query(bm25_sql("documents", "doc_id", {"text": 1}, starts("erin", "anthe"), threshold=0.5, tail="SELECT count(*) AS n FROM r"))
+@query(bm25_sql("documents", "doc_id", {"text": 1}, starts("erin", "anthe"), threshold=0.5, tail=ALL))
 def bm25_threshold_half(spark, sf):
-    return documents(spark, sf).search("erin anthe", threshold=0.5).count.select(F.col("count").alias("n"))
+    c = documents(spark, sf)
+    return every(c, c.ranked("erin anthe", threshold=0.5))
 
 
 @query(bm25_sql("part", "p_partkey", {"p_name": 1}, starts("g"), tail=ALL))
@@ -248,6 +259,62 @@ def no_token_term(spark, sf):
     return documents(spark, sf).ranked("  .. ").select(F.col("doc_ord").cast("string").alias("id"))
 
 
+_MANY = [f"{a}{b}" for a in "aeiou" for b in "lmnrst"] + [a + b for a in "bcdfg" for b in "aeiou"] + [a + b for a in "hjkpqvw" for b in "aeiouy"]
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({tok('text')}) AS word FROM documents), t AS (SELECT unnest([{", ".join(f"'{t}'" for t in _MANY)}]) AS t)
+SELECT CAST(doc_id AS VARCHAR) AS id FROM w JOIN t ON starts_with(word, t) GROUP BY doc_id HAVING count(DISTINCT t) = {len(_MANY)}""")
+def bm25_many_tokens(spark, sf):
+    """Threshold 0 with more tokens than one mask takes."""
+    return documents(spark, sf).ranked(" ".join(_MANY), threshold=0).select(F.col("doc_ord").cast("string").alias("id"))
+
+
+@query(bm25_sql("(SELECT * FROM documents WHERE source <> 'src1')", "doc_id", {"text": 1}, starts("erin", "anthe"), tail=ALL))
+def bm25_after_remove(spark, sf):
+    c = documents(spark, sf).indexed()
+    gone = _t(spark, sf, "documents").filter("source = 'src1'").select(F.col("doc_id").cast("string").alias("id"))
+    return every(c, c.remove_all(gone).ranked("erin anthe"))
+
+
+@query(SQL["bm25_all"])
+def snapshot_search(spark, sf):
+    """Saved with its index, loaded again and searched."""
+    at = snapshots.shared_folder(spark)
+    snapshots.save(documents(spark, sf), at)
+    c = snapshots.load(spark, at)
+    return every(c, c.ranked("erin anthe"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, CAST(p_size AS DOUBLE) AS p_size FROM part WHERE p_size <> 3")
+def snapshot_json(spark, sf):
+    """Saved as JSON without an index, loaded again and changed."""
+    at = snapshots.shared_folder(spark)
+    snapshots.save(_names(spark, sf), at, "json", tables=False)
+    gone = _t(spark, sf, "part").filter("p_size = 3").select(F.col("p_partkey").cast("string").alias("id"))
+    return snapshots.load(spark, at).remove_all(gone).docs.select("id", "p_name", "p_size")
+
+
+def _nested(spark, sf) -> Collection:
+    rows = _t(spark, sf, "part").select("p_partkey", F.struct("p_name", F.struct(F.col("p_brand").alias("brand"), F.col("p_size").cast("double").alias("size")).alias("of")).alias("item"))
+    return Collection.of(rows, {"item": {"p_name": "string", "of": {"brand": "enum", "size": "number"}}}, "p_partkey", score_digits=6)
+
+
+@query(bm25_sql("part", "p_partkey", {"p_name": 3.0}, starts("red", "b"), where="p_size > 20", tail=ALL))
+def nested_search(spark, sf):
+    c = _nested(spark, sf)
+    return every(c, c.ranked("red b", boost={"item.p_name": 3.0}, where={"item.of.size": f.gt(20)}))
+
+
+@query("SELECT p_brand AS value, count(*) AS count FROM part WHERE p_size > 20 GROUP BY p_brand")
+def nested_facet(spark, sf):
+    return _facet(_nested(spark, sf).search(where={"item.of.size": f.gt(20)}, facets={"item.of.brand": FacetConfig()}), "item.of.brand")
+
+
+@query("SELECT row_number() OVER (ORDER BY p_size DESC, p_partkey DESC) AS rank, CAST(p_partkey AS VARCHAR) AS id FROM part ORDER BY p_size DESC, p_partkey DESC LIMIT 40")
+def nested_sort(spark, sf):
+    return _ranks(_nested(spark, sf).search(sort_by=SortBy("item.of.size", SortOrder.DESC), limit=40))
+
+
 def qps_sql(tests: list[str], tokens: list[str]) -> str:
     words = ", ".join(f"'{t}'" for t in tokens)
     return f"""WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '[.?!]')) AS s, generate_subscripts(string_split_regex(text, '[.?!]'), 1) AS k FROM documents),
@@ -363,10 +430,37 @@ def geo_score(spark, sf):
     return c.ranked(where={"at": f.geo_radius(48.85, 2.35, 3_000_000)}).select(F.col("doc_ord").cast("string").alias("id"), F.round("score", 3).alias("score"))
 
 
-@query()
+_A, _F = 6378137.0, 1 / 298.257223563
+_B = (1 - _F) * _A
+_U = math.atan((1 - _F) * math.tan(math.radians(48.85)))
+_VINCENTY = f"""WITH RECURSIVE p AS (SELECT c_custkey AS k, atan((1 - {_F!r}) * tan(radians(lat))) AS u, radians(2.35) - radians(lon) AS span FROM {_GEO} WHERE {{where}}),
+r AS (SELECT k, sin(u) AS s1, cos(u) AS c1, span, span AS lam, 0 AS n FROM p
+  UNION ALL SELECT k, s1, c1, span, span + (1 - c) * {_F!r} * sa * (sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1))), n + 1 FROM (
+    SELECT *, {_F!r} / 16 * c2a * (4 + {_F!r} * (4 - 3 * c2a)) AS c FROM (
+      SELECT *, CASE WHEN c2a = 0 THEN 0 ELSE cs - 2 * s1 * {math.sin(_U)!r} / c2a END AS cm FROM (
+        SELECT *, 1 - sa * sa AS c2a FROM (SELECT *, c1 * {math.cos(_U)!r} * sin(lam) / ss AS sa, atan2(ss, cs) AS sigma FROM (
+          SELECT *, sqrt(pow({math.cos(_U)!r} * sin(lam), 2) + pow(c1 * {math.sin(_U)!r} - s1 * {math.cos(_U)!r} * cos(lam), 2)) AS ss, s1 * {math.sin(_U)!r} + c1 * {math.cos(_U)!r} * cos(lam) AS cs FROM r WHERE n < 40))))) ),
+e AS (SELECT *, c2a * {(_A**2 - _B**2) / _B**2!r} AS q, CASE WHEN c2a = 0 THEN 0 ELSE cs - 2 * s1 * {math.sin(_U)!r} / c2a END AS cm FROM (
+  SELECT *, 1 - pow(c1 * {math.cos(_U)!r} * sin(lam) / ss, 2) AS c2a, atan2(ss, cs) AS sigma FROM (
+    SELECT *, sqrt(pow({math.cos(_U)!r} * sin(lam), 2) + pow(c1 * {math.sin(_U)!r} - s1 * {math.cos(_U)!r} * cos(lam), 2)) AS ss, s1 * {math.sin(_U)!r} + c1 * {math.cos(_U)!r} * cos(lam) AS cs FROM r WHERE n = 40))),
+g AS (SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS big, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS small FROM e)
+SELECT CAST(k AS VARCHAR) AS id, round({_B!r} * big * (sigma - small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))), 3) AS metres FROM g"""
+
+
+@query(f"SELECT * FROM ({_VINCENTY.format(where=hav(48.85, 2.35) + ' <= 3100000')}) WHERE metres <= 3000000")
 def geo_vincenty(spark, sf):
     c = customers(spark, sf)
-    return c.docs.filter(c.where({"at": f.geo_radius(48.85, 2.35, 3_000_000, high_precision=True)})).select("id", geo.vincenty(F.col("at.lat"), F.col("at.lon"), 48.85, 2.35).alias("metres"))
+    metres = F.round(geo.vincenty(F.col("at.lat"), F.col("at.lon"), 48.85, 2.35), 3)
+    return c.docs.filter(c.where({"at": f.geo_radius(48.85, 2.35, 3_000_000, high_precision=True)})).select("id", metres.alias("metres"))
+
+
+_CENTRE = geo.centroid(_POLYGON)
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS id, round(max(d) OVER () - d + 1, 3) AS score FROM (SELECT c_custkey, {hav(_CENTRE.lat, _CENTRE.lon)} AS d FROM {_GEO} WHERE {polygon_sql(_POLYGON)})")
+def geo_polygon_score(spark, sf):
+    """Ranked by the distance from the polygon's centre."""
+    return customers(spark, sf).ranked(where={"at": f.geo_polygon(_POLYGON)}).select(F.col("doc_ord").cast("string").alias("id"), F.round("score", 3).alias("score"))
 
 
 # -- shaping -----------------------------------------------------------------
@@ -465,6 +559,16 @@ def facet_count(spark, sf):
     return _facet_docs(spark, sf).search(facets={"source": FacetConfig(limit=2)}).facets["source"].count
 
 
+@query("SELECT unnest(['10-20', '30-60']) AS value, unnest([count(*) FILTER (WHERE p_size BETWEEN 10 AND 20 OR p_size * 2 BETWEEN 10 AND 20), count(*) FILTER (WHERE p_size BETWEEN 30 AND 60 OR p_size * 2 BETWEEN 30 AND 60)]) AS count FROM part")
+def facet_number_array(spark, sf):
+    return _facet(parts(spark, sf).search(facets={"sizes": FacetConfig(ranges=(NumberFacetRange(10, 20), NumberFacetRange(30, 60)))}), "sizes")
+
+
+@query("SELECT CAST(v AS VARCHAR) AS value, count(*) AS count FROM (SELECT unnest(list_distinct([p_size > 25, p_size % 2 = 0])) AS v FROM part) GROUP BY v")
+def facet_boolean_array(spark, sf):
+    return _facet(parts(spark, sf).search(facets={"flags": FacetConfig()}), "flags")
+
+
 @query("SELECT source, k - 1 AS index, CAST(doc_id AS VARCHAR) AS id, 0.0 AS score FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 3")
 def group_single_limit(spark, sf):
     r = labelled(spark, sf).search(group_by=GroupBy(("source",), limit=3))
@@ -485,9 +589,46 @@ def group_reduce(spark, sf):
 
 
 # -- changes -----------------------------------------------------------------
-@query("SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS s FROM part WHERE p_partkey NOT IN (1, 2, 3)")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name FROM part WHERE p_partkey NOT IN (1, 2, 3)")
 def crud_remove(spark, sf):
-    return parts(spark, sf).remove("1", "2", "3", "none").docs.agg(F.count("*").alias("n"), F.sum("p_partkey").alias("s"))
+    return parts(spark, sf).remove("1", "2", "3", "none").docs.select("id", "p_name")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size % 7 = 0)")
+def crud_remove_all(spark, sf):
+    gone = _t(spark, sf, "part").filter("p_size % 7 = 0").select(F.col("p_partkey").cast("string").alias("id"))
+    return parts(spark, sf).remove_all(gone).docs.select("id")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, CAST(p_size AS DOUBLE) AS p_size FROM part WHERE p_partkey = 7")
+def get_by_id(spark, sf):
+    return parts(spark, sf).get("7").select("id", "p_name", "p_size")
+
+
+def _names(spark, sf) -> Collection:
+    """Part names of a collection made by bulk inserts of frames: of some parts, then of the rest."""
+    rows = _t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_name", F.col("p_size").cast("double").alias("p_size"))
+    return Collection.create(spark, {"p_name": "string", "p_size": "number"}, score_digits=6).insert(rows.filter("p_size > 25")).insert(rows.filter("p_size <= 25"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, CAST(p_size AS DOUBLE) AS p_size FROM part")
+def insert_bulk(spark, sf):
+    return _names(spark, sf).docs.select("id", "p_name", "p_size")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS docs, false AS empty, true AS cleared FROM part")
+def count_and_clear(spark, sf):
+    c = _names(spark, sf)
+    return spark.createDataFrame([(c.count(), c.is_empty(), c.clear().is_empty())], "docs long, empty boolean, cleared boolean")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 'x' || p_partkey, upper(p_name) FROM part WHERE p_size % 2 = 1")
+def update_bulk(spark, sf):
+    c = _names(spark, sf)
+    odd = _t(spark, sf, "part").filter("p_size % 2 = 1")
+    gone = odd.select(F.col("p_partkey").cast("string").alias("id"))
+    new = odd.select(F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("id"), F.upper("p_name").alias("p_name"), F.col("p_size").cast("double").alias("p_size"))
+    return c.update(gone, new).docs.select("id", "p_name")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, CAST(p_size AS DOUBLE) AS p_size FROM part WHERE p_partkey <> 1 UNION ALL SELECT 'new', 'other name', 3.0")
@@ -509,7 +650,14 @@ def reindex(spark, sf):
 # -- highlighting ------------------------------------------------------------
 @query("""SELECT doc_id, CAST(i AS INTEGER) AS start FROM (SELECT doc_id, lower(text) AS t, unnest(range(0, length(text) - 3)) AS i FROM documents) WHERE substr(t, CAST(i AS INT) + 1, 4) = 'erin'""")
 def highlight_positions(spark, sf):
-    docs = _t(spark, sf, "documents").select("doc_id", highlight.positions_py("erin")(F.col("text")).alias("m"))
+    docs = _t(spark, sf, "documents").select("doc_id", highlight.positions(F.col("text"), "erin").alias("m"))
+    return docs.select("doc_id", F.explode("m").alias("p")).select("doc_id", F.col("p.start").alias("start"))
+
+
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS start FROM (SELECT doc_id, lower(text) AS t, unnest(range(0, length(text) - 4)) AS i FROM documents) WHERE substr(t, CAST(i AS INT) + 1, 5) = 'latha'
+AND NOT regexp_matches(CASE WHEN i > 0 THEN substr(t, CAST(i AS INT), 1) ELSE '' END, '[\\p{L}0-9_]') AND NOT regexp_matches(substr(t, CAST(i AS INT) + 6, 1), '[\\p{L}0-9_]')""")
+def highlight_whole_words(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", highlight.positions(F.col("text"), "latha", whole_words=True).alias("m"))
     return docs.select("doc_id", F.explode("m").alias("p")).select("doc_id", F.col("p.start").alias("start"))
 
 
@@ -517,6 +665,6 @@ def highlight_positions(spark, sf):
 SELECT *, greatest(a, 0) AS b FROM c), k AS (SELECT *, least(b + 60, n) AS z FROM e), w AS (SELECT *, greatest(least(b, z - 60), 0) AS y FROM k)
 SELECT doc_id, CASE WHEN s < 0 OR n <= 60 THEN text ELSE CASE WHEN y > 0 THEN '...' ELSE '' END || substr(text, y + 1, 60) || CASE WHEN z < n THEN '...' ELSE '' END END AS excerpt FROM w""")
 def excerpt(spark, sf):
-    docs = _t(spark, sf, "documents").withColumn("m", highlight.positions_py("erin")(F.col("text")))
+    docs = _t(spark, sf, "documents").withColumn("m", highlight.positions(F.col("text"), "erin"))
     return docs.select("doc_id", highlight.excerpt(F.col("text"), F.col("m"), 60).alias("excerpt"))
 

@@ -8,6 +8,9 @@ they are derived again from the documents.
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from dataclasses import replace
 from enum import Enum
 
@@ -45,6 +48,18 @@ def manifest(c: Collection, format: Format, tables: bool, stats: index.Stats | N
     }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder beneath the session's checkpoint folder, which all executors share. Only a ``local`` master may do without one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise StorageError("set spark.checkpoint.dir to a folder that all executors share")
+            at = f"{tempfile.gettempdir()}/quern-checkpoints"
+        spark.sparkContext.setCheckpointDir(at)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def save(c: Collection, path: str, format: Format | str = Format.PARQUET, tables: bool = True, mode: str = "error") -> None:
     format = Format(format)
     own = None

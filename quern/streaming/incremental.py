@@ -16,12 +16,15 @@ from ..collection import Collection
 
 def write_batch(template: Collection, changes: DataFrame, batch: int, path: str) -> None:
     """``changes``: ``id``, the declared fields, and ``deleted``. The last row of an id within a batch isn't defined: send one."""
-    rows = changes.withColumn("doc_ord", F.xxhash64("id", F.lit(batch)))
-    docs = template.schema.conform(rows.filter("NOT deleted").drop("deleted"))
-    docs.write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
-    rows.select("id", "doc_ord", "deleted").write.mode("overwrite").parquet(f"{path}/versions/batch={batch}")
-    postings = index.BUILDERS[template.algorithm](docs, template.text_paths, template.tokenizer)
-    postings.write.mode("overwrite").parquet(f"{path}/postings/batch={batch}")
+    rows = changes.withColumn("doc_ord", F.xxhash64("id", F.lit(batch))).persist()
+    try:
+        docs = template.schema.conform(rows.filter("NOT deleted").drop("deleted"))
+        docs.write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
+        rows.select("id", "doc_ord", "deleted").write.mode("overwrite").parquet(f"{path}/versions/batch={batch}")
+        postings = index.BUILDERS[template.algorithm](docs, template.text_paths, template.tokenizer, template.array_paths)
+        postings.write.mode("overwrite").parquet(f"{path}/postings/batch={batch}")
+    finally:
+        rows.unpersist()
 
 
 def start(template: Collection, changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -41,5 +44,5 @@ def read(spark: SparkSession, template: Collection, path: str) -> Collection:
     docs = spark.read.parquet(f"{path}/docs").drop("batch").join(live, "doc_ord", "left_semi")
     postings = spark.read.parquet(f"{path}/postings").drop("batch").join(live, "doc_ord", "left_semi")
     c = replace(template, docs=docs, tables=None)
-    stats = index.length_stats(docs, c.text_paths, c.tokenizer)
+    stats = index.length_stats(docs, c.text_paths, c.tokenizer, c.array_paths)
     return replace(c, tables=Tables(postings, None, stats))

@@ -208,12 +208,31 @@ def test_geo(spark):
 
 def test_highlight(spark):
     df = spark.createDataFrame([("ababa Caña",), ("",), (None,)], "t string")
-    for fn in (lambda q, **k: highlight.positions(F.col("t"), q, **k), lambda q, **k: highlight.positions_py(q, **k)(F.col("t"))):
+    for fn in (lambda q, **k: highlight.positions(F.col("t"), q, **k),):
         got = [r[0] for r in df.select(fn("aba caña")).collect()]
         assert [(p["start"], p["end"], p["token"]) for p in got[0]] == [(0, 3, "aba"), (2, 5, "aba"), (6, 10, "Caña")] and got[1] == [] and got[2] is None
         assert [len(r[0] or []) for r in df.select(fn("aba", whole_words=True)).collect()] == [0, 0, 0]
         assert [len(r[0] or []) for r in df.select(fn("ababa", whole_words=True)).collect()] == [1, 0, 0]
-    m = highlight.positions_py("aba caña")(F.col("t"))
+    m = highlight.positions(F.col("t"), "aba caña")
     assert df.select(highlight.marked(F.col("t"), m)).first()[0] == "<mark>ababa</mark> <mark>Caña</mark>"
     text = spark.createDataFrame([("x" * 50 + "fox" + "y" * 50,)], "t string")
     assert text.select(highlight.excerpt(F.col("t"), highlight.positions(F.col("t"), "fox"), 9)).first()[0] == "...xxxfoxyyy..."
+
+
+def test_many_tokens(spark):
+    """Threshold 0 holds beyond the 63 tokens of one mask."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(150)]
+    c = Collection.create(spark, {"t": "string"}).insert([{"id": "all", "t": " ".join(words)}, {"id": "less", "t": " ".join(words[:-1])}, {"id": "mid", "t": " ".join(words[:70] + words[75:])}])
+    for kept in (c, c.indexed()):
+        assert ids(kept.search(" ".join(words), threshold=0)) == ["all"] and len(ids(kept.search(" ".join(words[:70]), threshold=0))) == 3
+
+
+def test_cold_search_reads_once(spark):
+    """A search without an index tokenizes its documents in one plan, and agrees with one that has it."""
+    rows = [{"id": str(k), "t": f"red fox {k} blue. Blue fox, red.", "u": "fox" if k % 3 else None, "tags": ["red", "fox fox"]} for k in range(40)]
+    for algorithm in ("bm25", "qps", "pt15"):
+        c = Collection.create(spark, {"t": "string", "u": "string", "tags": "string[]"}, algorithm=algorithm, search_arrays=True).insert(rows)
+        got, want = ([(r["id"], round(r["score"], 9)) for r in x.search("fox re", limit=50).hits.collect()] for x in (c, c.indexed()))
+        assert got == want and len(got) == 40
+    c = Collection.create(spark, {"t": "string"}).insert([{"id": "a", "t": "fox"}])
+    assert c.search("fox").hits._jdf.queryExecution().analyzed().toString().count("array_distinct") <= 2

@@ -81,3 +81,15 @@ def test_stream(spark, tmp_path):
         q.stop()
     c = incremental.read(spark, template, str(tmp_path / "out"))
     assert [r["id"] for r in c.search("fox").hits.collect()] == ["c"] and [r["id"] for r in c.search("whale").hits.collect()] == ["a"] and c.count() == 2
+
+
+def test_stream_of_arrays(spark, tmp_path):
+    template = Collection.create(spark, {"tags": "string[]"}, search_arrays=True)
+    rows = spark.createDataFrame([("a", ["red fox", "cub"], False), ("b", ["whale"], False)], "id string, tags array<string>, deleted boolean")
+    incremental.write_batch(template, rows, 0, str(tmp_path / "out"))
+    incremental.write_batch(template, rows.limit(0), 1, str(tmp_path / "out"))
+    assert [r["id"] for r in incremental.read(spark, template, str(tmp_path / "out")).search("fox").hits.collect()] == ["a"]
+
+
+def test_shared_folder(spark):
+    assert snapshots.shared_folder(spark).rsplit("/", 1)[0] == spark.sparkContext.getCheckpointDir()
