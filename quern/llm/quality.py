@@ -6,7 +6,8 @@ remains becomes one column expression, so that scoring stays in the JVM and read
 
 Defined cases: labels are used where ``quality`` is 0 or 1 and all rows of a ``doc_id`` agree; null ids aren't used; with labels
 of one class (or none) the score is that class's share (1.0 with none); a null, empty or blank text scores 0.0 and is
-rejected; whole texts count, however long; repeated rows score alike; an empty table gives no rows.
+rejected; whole texts count, however long; repeated rows score alike, and ``keep_good`` carries other columns along whatever their names;
+an empty table gives no rows. Labels of toxicity aren't looked at: the statistics of a text don't tell it.
 """
 
 from __future__ import annotations
@@ -94,8 +95,8 @@ class RuleEnsemble:
         return F.when(F.col(FEATURES[0]).isNull(), 0.0).otherwise(1 / (1 + F.exp(-z)))
 
 
-def _tree(binned: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray, terms: tuple, rules: set, step: np.ndarray) -> None:
-    """Grow one tree on gradients; adds every path to ``rules`` and leaf values to ``step``."""
+def _tree(binned: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray, held: np.ndarray, terms: tuple, rules: set, step: np.ndarray) -> None:
+    """Grow one tree on the gradients of ``rows``; adds every path to ``rules``, and the leaf's value to ``step`` for all rows that it holds."""
     if terms:
         rules.add(Rule(terms))
     value = g[rows].sum() / (h[rows].sum() + 1)
@@ -116,11 +117,11 @@ def _tree(binned: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndar
                 best = (gain[k], f, k)
     _, f, k = best
     if f is None:
-        step[rows] += value
+        step[held] += value
         return
-    left = binned[rows, f] <= k
-    for side, part in ((False, rows[left]), (True, rows[~left])):
-        _tree(binned, edges, g, h, part, (*terms, (FEATURES[f], side, float(edges[f][k]))), rules, step)
+    left, below = binned[rows, f] <= k, binned[held, f] <= k
+    for side, part, all_ in ((False, rows[left], held[below]), (True, rows[~left], held[~below])):
+        _tree(binned, edges, g, h, part, all_, (*terms, (FEATURES[f], side, float(edges[f][k]))), rules, step)
 
 
 def _lasso(r: np.ndarray, y: np.ndarray, l1: float, steps: int = 400) -> tuple[float, np.ndarray]:
@@ -155,13 +156,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleEnsemble:
         p = 1 / (1 + np.exp(-z))
         step = np.zeros(len(y))
         rows = np.sort(rng.choice(len(y), max(1, int(0.7 * len(y))), replace=False))
-        before = set(found)
-        _tree(binned, edges, y - p, p * (1 - p), rows, (), found, step)
-        for r in found - before:  # rows outside the subsample get the step of a sampled row with the same leaf
-            if len(r.terms) == DEPTH:
-                inside = r.holds(x)
-                seen = step[inside][step[inside] != 0]
-                step[inside] = seen[0] if len(seen) else 0
+        _tree(binned, edges, y - p, p * (1 - p), rows, np.arange(len(y)), (), found, step)
         z += 0.3 * step
     rules = sorted(found, key=lambda r: (len(r.terms), r.terms))
     matrix = np.stack([r.holds(x) for r in rules], 1).astype(float)
