@@ -32,7 +32,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, trim
+from .common import runs, slices, table, trim
 from .token_counts import PATTERN, VOCABULARY, load_ranks
 
 LONG = 16_384
@@ -45,6 +45,8 @@ PIECES, WINDOW = 16, 4
 SLACK = 8
 #: characters of a piece from which on it is encoded by windows of tokens
 UNBROKEN = 512
+#: pieces whose tokens a worker remembers
+KEPT = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -113,7 +115,7 @@ class Joiner:
         if tokens is None:
             tokens = self.one(text.encode())
             if len(text) < 40:
-                if len(self.kept) > 500_000:
+                if len(self.kept) >= KEPT:
                     self.kept.clear()
                 self.kept[text] = tokens
         return tokens
@@ -238,6 +240,7 @@ def _leaves(leaf: int):
                 n = len(parts)
                 same = [pa.array([row.column(c)[0].as_py()] * n, t) for c, t in (("doc_id", pa.int64()), ("sha", pa.string()))]
                 yield pa.RecordBatch.from_arrays([*same, pa.array([n] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(parts, pa.string())], ["doc_id", "sha", "leaves", "leaf", "part"])
+        trim()
 
     return run
 
@@ -251,8 +254,11 @@ def _encode_leaves(vocabulary: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = joiner(vocabulary, pattern)
         for batch in batches:
-            nodes = [j.leaf(x) for x in batch.column("part").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "sha", "copies", "leaves", "leaf")), _lists([n.tokens for n in nodes]), _lists([n.counts for n in nodes])], ["doc_id", "sha", "copies", "leaves", "node", "tokens", "counts"])
+            for part in slices(batch, "part"):
+                nodes = [j.leaf(x) for x in part.column("part").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "sha", "copies", "leaves", "leaf")), _lists([n.tokens for n in nodes]), _lists([n.counts for n in nodes])], ["doc_id", "sha", "copies", "leaves", "node", "tokens", "counts"])
+        j.kept.clear()
+        trim()
 
     return run
 
@@ -276,10 +282,14 @@ def _finish(vocabulary: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [x.values.to_numpy() for x in batch.column("tokens")]
-            same = [hashlib.sha256(decode_flat(t, vocabulary)).hexdigest() == sha for t, sha in zip(tokens, batch.column("sha").to_pylist(), strict=True)]
-            copies = np.asarray(batch.column("copies"))
-            yield _rows(batch.column("doc_id"), tokens, same).take(pa.array(np.repeat(np.arange(len(copies)), copies)))
+            for part in slices(batch, "tokens"):
+                tokens = [x.values.to_numpy() for x in part.column("tokens")]
+                same = [hashlib.sha256(decode_flat(t, vocabulary)).hexdigest() == sha for t, sha in zip(tokens, part.column("sha").to_pylist(), strict=True)]
+                done, which = _rows(part.column("doc_id"), tokens, same), np.repeat(np.arange(part.num_rows), np.asarray(part.column("copies")))
+                total = np.cumsum(np.array(list(map(len, tokens)))[which])
+                for s, c in zip(*runs(total >> 21)):  # of many copies a few at a time
+                    yield done.take(pa.array(which[s : s + c]))
+        trim()
 
     return run
 

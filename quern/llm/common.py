@@ -99,8 +99,10 @@ def hash_strings(values: list[str] | np.ndarray) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch | pa.Table, column: str, limit: int = 2 << 20, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most about ``limit`` bytes of text, one row at least."""
-    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    """Parts of a batch with at most about ``limit`` bytes of text (or items of lists), one row at least."""
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    size = np.asarray(pc.fill_null(length(values), 0)).astype(np.int64)
     total, start = np.cumsum(size), 0
     while start < len(size):
         base = total[start - 1] if start else 0
