@@ -32,7 +32,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs, slices, table, trim
+from .common import slices, table, trim
 from .token_counts import PATTERN, VOCABULARY, load_ranks
 
 LONG = 16_384
@@ -263,35 +263,29 @@ def _encode_leaves(vocabulary: str, pattern: str):
     return run
 
 
-def _join(vocabulary: str, pattern: str):
-    """``ARITY`` neighbours to one node."""
+def _join(vocabulary: str, pattern: str, last: bool):
+    """``ARITY`` neighbours to one node; of the ``last`` level a result row with its number of copies."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("node")
         numbers = lambda c: [x.values.to_numpy() for x in rows.column(c)]
         node = joiner(vocabulary, pattern).tree([Node(t, c) for t, c in zip(numbers("tokens"), numbers("counts"), strict=True)])
         one = rows.slice(0, 1)
+        if last:
+            same = hashlib.sha256(decode_flat(node.tokens, vocabulary)).hexdigest() == one.column("sha")[0].as_py()
+            done = _rows(one.column("doc_id").combine_chunks(), [node.tokens], [same])
+            return pa.table([*done.columns, one.column("copies")], [*done.schema.names, "copies"])
         at = pa.array([one.column("node")[0].as_py() // ARITY], pa.int32())
         return pa.table([*(one.column(c) for c in ("doc_id", "sha", "copies", "leaves")), at, _lists([node.tokens]), _lists([node.counts])], ["doc_id", "sha", "copies", "leaves", "node", "tokens", "counts"])
 
     return run
 
 
-def _finish(vocabulary: str):
-    """Whole texts' nodes to result rows, one for each copy."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "tokens"):
-                tokens = [x.values.to_numpy() for x in part.column("tokens")]
-                same = [hashlib.sha256(decode_flat(t, vocabulary)).hexdigest() == sha for t, sha in zip(tokens, part.column("sha").to_pylist(), strict=True)]
-                done, which = _rows(part.column("doc_id"), tokens, same), np.repeat(np.arange(part.num_rows), np.asarray(part.column("copies")))
-                total = np.cumsum(np.array(list(map(len, tokens)))[which])
-                for s, c in zip(*runs(total >> 21)):  # of many copies a few at a time
-                    yield done.take(pa.array(which[s : s + c]))
-        trim()
-
-    return run
+def _copies(done: DataFrame) -> DataFrame:
+    """Each row as often as its ``copies``, by two steps so that no array is long."""
+    step = done.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(4096).cast("long"))))
+    step = step.withColumn("one", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + 4095, F.col("copies") - 1))))
+    return step.drop("copies", "from", "one")
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, long: int = LONG, leaf: int = LEAF) -> DataFrame:
@@ -307,10 +301,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
     leaves = held.mapInArrow(_leaves(leaf), LEAVES).groupBy("doc_id", "sha", "leaves", "leaf").agg(F.first("part").alias("part"), F.count("*").alias("copies"))
     nodes, left = leaves.mapInArrow(_encode_leaves(vocabulary, pattern), NODES), 2 * longest // leaf + 2
     while True:
-        nodes = nodes.groupBy("doc_id", "sha", F.expr(f"node div {ARITY}")).applyInArrow(_join(vocabulary, pattern), NODES)
         left = -(-left // ARITY)
-        if left <= 1:
-            return short.unionByName(nodes.mapInArrow(_finish(vocabulary), OUT))
+        last = left <= 1  # it gives results itself: with a second Python operator behind it every task would keep two workers
+        nodes = nodes.groupBy("doc_id", "sha", F.expr(f"node div {ARITY}")).applyInArrow(_join(vocabulary, pattern, last), f"{OUT}, copies long" if last else NODES)
+        if last:
+            return short.unionByName(_copies(nodes))
 
 
 def decode(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
