@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
@@ -144,6 +145,22 @@ def test_ngram_join_in_many_buckets(spark, docs_of, monkeypatch, block):
     assert found_classes(spark, docs, rows) == brute_classes(rows)
 
 
+def test_hot_pairs_meet_in_cells(spark, docs_of, monkeypatch):
+    """No task holds all pairs of a group of near copies."""
+    monkeypatch.setattr(ngram_jaccard, "HOT_PAIRS", 300)
+    counted = ngram_jaccard._add_hot
+
+    def bounded(key: tuple[pa.Scalar, ...], likely: pa.Table, held: pa.Table) -> pa.Table:
+        assert likely.num_rows < 1800, likely.num_rows
+        return counted(key, likely, held)
+
+    monkeypatch.setattr(ngram_jaccard, "_add_hot", bounded)
+    text = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join([*text[:k], "changed", *text[k + 1 :]])) for k in range(90)]
+    want = {row: (0, 89) for row in rows}
+    assert brute_classes(rows) == want and found_classes(spark, docs_of(rows), rows) == want
+
+
 def test_ngram_join_of_a_table_loaded_twice(spark, docs_of):
     """Slices with the same rows: partitions that repeat, and a repeated text that is longer than a slice."""
     rng = random.Random(5)
