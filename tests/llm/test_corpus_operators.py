@@ -145,6 +145,26 @@ def test_ngram_join_in_many_buckets(spark, docs_of, monkeypatch, block):
     assert found_classes(spark, docs, rows) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 1])
+def test_pairs_of_a_fragment_leave_in_parts(monkeypatch, hot):
+    """All pairs of documents that share one n-gram, in batches that don't grow with the pairs; also between two blocks."""
+    monkeypatch.setattr(ngram_jaccard, "PAIRS_AT_ONCE", 200)
+    n, lead, bits = 500, 3, 2
+    u4 = lambda *x: np.array(x, np.uint32)
+    blob = lambda k: common.pack(np.array([k]), u4(40 + k % 3), u4(hot), u4(2), common.six(np.array([5, 6], np.uint64)), np.array([k % lead == 0, 1], np.uint8))
+    rows = [pa.RecordBatch.from_pydict({"block": pa.array([k % 2 for k in part], pa.int32()), "payload": pa.array([blob(k) for k in part], pa.binary())}) for part in (range(n // 2), range(n // 2, n))]
+    for j, want in ((0, n * (n - 1) // 2), (1, n * n // 4)):
+        key = tuple(pa.scalar(x) for x in (hot << bits, 0, j))
+        parts = list(ngram_jaccard._partial(bits, 0.5)(key, iter(rows)))
+        assert max(p.num_rows for p in parts) <= n
+        got = pa.Table.from_batches(parts).to_pylist()
+        assert len({(r["doc_a"], r["doc_b"]) for r in got}) == len(got) == want
+        for r in got:
+            a, b = r["doc_a"], r["doc_b"]
+            assert a < b and (not j or a % 2 != b % 2) and r["n"] == (0 if hot else 2) + ngram_jaccard.LED
+            assert r["sizes"] == (40 + a % 3) << 32 | (40 + b % 3)
+
+
 def test_hot_pairs_meet_in_cells(spark, docs_of, monkeypatch):
     """No task holds all pairs of a group of near copies."""
     monkeypatch.setattr(ngram_jaccard, "HOT_PAIRS", 300)
