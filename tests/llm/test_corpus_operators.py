@@ -145,6 +145,28 @@ def test_ngram_join_in_many_buckets(spark, docs_of, monkeypatch, block):
     assert found_classes(spark, docs, rows) == brute_classes(rows)
 
 
+def test_segments_are_small_and_sent_once(spark, docs_of, monkeypatch):
+    """What near copies send to fragments grows neither with their n-grams nor, through blocks, with the number of fragments."""
+    monkeypatch.setattr(ngram_jaccard, "FRAGMENT_BYTES", 3000)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_BYTES", 4000)
+    seen, cut_up = [], ngram_jaccard._blocks
+
+    def counted(segments):
+        out = cut_up(segments)
+        size = lambda d: d.selectExpr("coalesce(sum(octet_length(payload)), 0)", "count(DISTINCT fragment)", "count(*)").first()
+        seen.append((size(segments), size(out)))
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "_blocks", counted)
+    rows = []
+    for k in range(120):
+        text = [f"d{k}w{j}" for j in range(400)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text[:200], "changed", *text[201:]]))]
+    assert found_classes(spark, docs_of(rows), rows) == {row: (row[0] // 2 * 2, 1) for row in rows}
+    ((n_bytes, fragments, _), sent), = seen
+    assert n_bytes < 240 * 395 and fragments > 1 and sent == seen[0][0]
+
+
 @pytest.mark.parametrize("hot", [0, 1])
 def test_pairs_of_a_fragment_leave_in_parts(monkeypatch, hot):
     """All pairs of documents that share one n-gram, in batches that don't grow with the pairs; also between two blocks."""
