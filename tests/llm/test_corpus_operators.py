@@ -187,6 +187,44 @@ def test_pairs_of_a_fragment_leave_in_parts(monkeypatch, hot):
             assert r["sizes"] == (40 + a % 3) << 32 | (40 + b % 3)
 
 
+def test_ngram_join_sends_python_bounded_batches(spark, monkeypatch):
+    """A worker's memory doesn't follow the length of 10,000 rows; the session's own bound is back afterwards."""
+    grams, name = ngram_jaccard._grams, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def bounded(bits: int, n: int):
+        run = grams(bits, n)
+
+        def each(batches):
+            for batch in batches:
+                assert batch.nbytes < 5 << 20, batch.nbytes
+                yield batch
+
+        return lambda batches: run(each(batches))
+
+    monkeypatch.setattr(ngram_jaccard, "_grams", bounded)
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 6000), x -> concat('w', (id DIV 2) * 7000 + x))) AS text")
+    before = spark.conf.get(name, None)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_jaccard.classes(docs).collect()}
+    assert got == {k: (k // 2 * 2, 1) for k in range(400)} and spark.conf.get(name, None) == before
+
+
+def test_ngram_join_writes_files_by_cores(spark, docs_of, monkeypatch):
+    """Tables in the shared folder have no more files than the cores call for, however many partitions a shuffle has."""
+    seen, cut = [], ngram_jaccard.cut
+    monkeypatch.setattr(ngram_jaccard, "FILES", 1, raising=False)
+    monkeypatch.setattr(ngram_jaccard, "cut", lambda df: seen.append((out := cut(df)).rdd.getNumPartitions()) or out)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("9", "false"), strict=True):
+            spark.conf.set(k, v)
+        rows = near_rows()[:120]
+        assert found_classes(spark, docs_of(rows), rows) == brute_classes(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(seen) > 6 and max(seen) <= spark.sparkContext.defaultParallelism < 9
+
+
 def test_hot_pairs_meet_in_cells(spark, docs_of, monkeypatch):
     """No task holds all pairs of a group of near copies."""
     monkeypatch.setattr(ngram_jaccard, "HOT_PAIRS", 300)
