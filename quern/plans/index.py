@@ -1,7 +1,7 @@
 """Index tables as lazy DataFrames: postings with lengths in the row, vocabulary, and length statistics.
 
 Term frequencies and lengths are computed inside each document's row, before anything is exploded, so building
-postings needs no shuffle (QPS and repeated tokens group by document and word, with partial aggregation).
+postings needs no shuffle and no aggregation: repeats of a word are runs of its document's sorted tokens.
 """
 
 from __future__ import annotations
@@ -59,6 +59,21 @@ def tokens_of(docs: DataFrame, prop: str, tokenizer: Tokenizer, array: bool = Fa
     return F.flatten(F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: tokenizer.column(x, prop)))
 
 
+def _runs(sorted_: Column, word: Callable[[Column], Column], make: Callable[[Column, Column, Column], Column]) -> Column:
+    """``make(all, place, length)`` for each run of equal words in one sorted array. Arrays bound by lambdas are made once, not for each element."""
+
+    def of(s: Column) -> Column:
+        firsts = F.filter(F.transform(s, lambda x, i: F.when(~word(x).eqNullSafe(word(F.get(s, i - 1))), i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(F.array(firsts), lambda at: F.transform(at, lambda i, k: make(s, i, F.coalesce(F.get(at, k + 1), F.size(s)) - i))))
+
+    return F.flatten(F.transform(F.array(sorted_), of))
+
+
+def _counted(tokens: Column, n_tokens: Column) -> Column:
+    """``word, tf`` of the words of one document's tokens, which may repeat."""
+    return _runs(F.sort_array(tokens), lambda w: w, lambda s, i, n: F.struct(F.get(s, i).alias("word"), (n / n_tokens).alias("tf")))
+
+
 def bm25_postings(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays: frozenset[str] = frozenset()) -> DataFrame:
     """``prop, word, doc_ord, tf, n_tokens``."""
     parts = []
@@ -67,9 +82,10 @@ def bm25_postings(docs: DataFrame, props: list[str], tokenizer: Tokenizer, array
         rows = spread(docs.filter(F.col(p).isNotNull()).select("doc_ord", F.col(p)))
         rows = rows.select("doc_ord", tokens_of(rows, p, tokenizer, p in arrays).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
         if repeats:
-            rows = rows.select("doc_ord", "n_tokens", F.explode("tokens").alias("word")).groupBy("doc_ord", "n_tokens", "word").agg((F.count("*") / F.col("n_tokens")).alias("tf"))
+            rows = rows.select("doc_ord", "n_tokens", F.inline(_counted(F.col("tokens"), F.col("n_tokens"))))
         else:
-            rows = rows.select("doc_ord", "n_tokens", (F.lit(1.0) / F.col("n_tokens")).alias("tf"), F.explode("tokens").alias("word"))
+            # of a plain explode Spark would filter by the array's size before the text is split, and split it once more for that
+            rows = rows.select("doc_ord", "n_tokens", (F.lit(1.0) / F.col("n_tokens")).alias("tf"), F.explode_outer("tokens").alias("word")).filter("word IS NOT NULL")
         parts.append(rows.select(F.lit(p).alias("prop"), "word", "doc_ord", "tf", "n_tokens"))
     return _union(parts)
 
@@ -91,11 +107,11 @@ def bm25_matches(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays
     rows = keep(rows.select("doc_ord", *(F.when(F.col(f"t{k}").isNotNull(), F.size(f"t{k}")).alias(f"n{k}") for k in range(len(props))), *(F.filter(f"t{k}", test).alias(f"m{k}") for k in range(len(props)))))
     parts = []
     for k, p in enumerate(props):
-        hits = rows.filter(F.size(f"m{k}") > 0).select("doc_ord", F.col(f"n{k}").alias("n_tokens"), F.explode(f"m{k}").alias("word"))
+        hits, n = rows.filter(F.size(f"m{k}") > 0), F.col(f"n{k}")
         if tokenizer.allow_duplicates or p in arrays:
-            hits = hits.groupBy("doc_ord", "n_tokens", "word").agg((F.count("*") / F.col("n_tokens")).alias("tf"))
+            hits = hits.select("doc_ord", n.alias("n_tokens"), F.inline(_counted(F.col(f"m{k}"), n)))
         else:
-            hits = hits.withColumn("tf", F.lit(1.0) / F.col("n_tokens"))
+            hits = hits.select("doc_ord", n.alias("n_tokens"), F.explode(f"m{k}").alias("word"), (F.lit(1.0) / n).alias("tf"))
         parts.append(hits.select(F.lit(p).alias("prop"), "word", "doc_ord", "tf", "n_tokens"))
     return _union(parts), _stats(rows, props)
 
@@ -113,6 +129,11 @@ def _quanta(sentences: Column, test: Callable[[Column], Column] | None) -> Colum
     return F.flatten(F.transform(each, lambda e: F.transform(e["w"], lambda t: F.struct(t.alias("word"), e["q"].alias("q")))))
 
 
+def _occurrences(s: Column, i: Column, n: Column) -> Column:
+    bit = lambda t: F.call_function("shiftleft", F.lit(1), t["q"])
+    return F.struct(F.get(s, i)["word"].alias("word"), n.alias("occ"), F.aggregate(F.slice(s, i + 1, n), F.lit(0), lambda m, t: m.bitwiseOR(bit(t))).alias("mask"))
+
+
 def qps_postings(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays: frozenset[str] = frozenset(), test: Callable[[Column], Column] | None = None) -> DataFrame:
     """``prop, word, doc_ord, occ, mask, n_tokens``: occurrences by sentence, and a 20-bit mask of sentences. With ``test``, of the words
     that pass it only."""
@@ -122,8 +143,8 @@ def qps_postings(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays
         rows = spread(docs.filter(F.col(p).isNotNull()).select("doc_ord", F.col(p)))
         rows = rows.select("doc_ord", F.transform(elements, lambda text: F.transform(F.split(text, "[.?!]"), lambda s: tokenizer.column(s, p))).alias("s"))
         n = F.aggregate(F.flatten("s"), F.lit(0), lambda a, s: a + F.size(s))
-        rows = rows.select("doc_ord", n.alias("n_tokens"), F.explode(F.flatten(F.transform("s", lambda s: _quanta(s, test)))).alias("t"))
-        rows = rows.groupBy("doc_ord", "n_tokens", F.col("t.word").alias("word")).agg(F.count("*").cast("int").alias("occ"), F.bit_or(F.expr("shiftleft(1, t.q)")).alias("mask"))
+        placed = F.sort_array(F.flatten(F.transform("s", lambda s: _quanta(s, test))))
+        rows = rows.select("doc_ord", n.alias("n_tokens"), F.inline(_runs(placed, lambda t: t["word"], _occurrences)))
         parts.append(rows.select(F.lit(p).alias("prop"), "word", "doc_ord", "occ", "mask", "n_tokens"))
     return _union(parts)
 

@@ -145,7 +145,15 @@ def doc_len_avg(spark, sf):
 @query(f"SELECT doc_id, word, round(count(*) / n, 9) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS word FROM (SELECT doc_id, {tok('text', distinct=False)} AS t FROM documents)) GROUP BY doc_id, n, word")
 def tf_table(spark, sf):
     c = documents(spark, sf, allow_duplicates=True)
-    return c.postings(["text"]).select(F.col("doc_ord").alias("doc_id"), "word", F.round("tf", 9).alias("tf"))
+    rows = c.postings(["text"])
+    # postings count within a document; rows that share an id, if any, are added up as the SQL does
+    again = c.docs.groupBy("doc_ord").count().filter("count > 1").select(F.col("doc_ord").alias("again"))
+    if n := again.count():
+        same = F.col("doc_ord").eqNullSafe(F.col("again"))
+        again = F.broadcast(again) if n < 1_000_000 else again
+        added = rows.join(again, same, "left_semi").groupBy("doc_ord", "n_tokens", "word").agg(F.sum("tf").alias("tf"))
+        rows = rows.join(again, same, "left_anti").unionByName(added, allowMissingColumns=True)
+    return rows.select(F.col("doc_ord").alias("doc_id"), "word", F.round("tf", 9).alias("tf"))
 
 
 # -- ranking -----------------------------------------------------------------

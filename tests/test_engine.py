@@ -236,3 +236,22 @@ def test_cold_search_reads_once(spark):
         assert got == want and len(got) == 40
     c = Collection.create(spark, {"t": "string"}).insert([{"id": "a", "t": "fox"}])
     assert c.search("fox").hits._jdf.queryExecution().analyzed().toString().count("array_distinct") <= 2
+
+
+def test_words_are_counted_within_the_row(spark):
+    rows = [{"id": "a", "t": "fox red fox. red fox", "tags": ["whale fox", "fox"]}, {"id": "b", "t": None, "tags": None}, {"id": "c", "t": " .. ", "tags": []}]
+    for algorithm in ("bm25", "qps"):
+        c = Collection.create(spark, {"t": "string", "tags": "string[]"}, algorithm=algorithm, search_arrays=True, allow_duplicates=True).insert(rows)
+        frame = c.postings(["t", "tags"])
+        assert "Aggregate" not in frame._jdf.queryExecution().optimizedPlan().toString()
+        value = lambda r: round(r["tf"] * r["n_tokens"]) if algorithm == "bm25" else (r["occ"], r["mask"])
+        got = {(r["prop"], r["word"], r["n_tokens"], value(r)) for r in frame.collect()}
+        if algorithm == "bm25":
+            assert got == {("t", "fox", 5, 3), ("t", "red", 5, 2), ("tags", "fox", 3, 2), ("tags", "whale", 3, 1)}
+        else:
+            assert got == {("t", "fox", 5, (3, 3)), ("t", "red", 5, (2, 3)), ("tags", "fox", 3, (2, 1)), ("tags", "whale", 3, (1, 1))}
+
+
+def test_text_is_split_once_for_postings(spark):
+    plan = Collection.create(spark, {"t": "string"}).insert([{"t": "red fox"}]).postings(["t"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
