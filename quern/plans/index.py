@@ -191,6 +191,15 @@ def length_stats(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays
     return _stats(rows.select("doc_ord", *(c.alias(f"n{k}") for k, c in enumerate(sizes))), props)
 
 
+def saved_stats(docs: DataFrame, props: list[str], postings: DataFrame, tokenizer: Tokenizer, arrays: frozenset[str]) -> Stats:
+    """:func:`length_stats` from BM25 postings that are written already, without splitting the texts again where every document has the property."""
+    row = docs.agg(F.count("*").alias("all"), *(F.count(p).alias(f"c{k}") for k, p in enumerate(props))).first()
+    if any(row[f"c{k}"] not in (0, row["all"]) for k in range(len(props))):
+        return length_stats(docs, props, tokenizer, arrays)
+    sums = {r["prop"]: r["n"] for r in postings.groupBy("prop").agg(F.sum(F.round(F.col("tf") * F.col("n_tokens")).cast("long")).alias("n")).collect()}
+    return Stats(row["all"], {p: sums.get(p, 0) / row[f"c{k}"] if row[f"c{k}"] else 0.0 for k, p in enumerate(props)})
+
+
 def _stats(rows: DataFrame, props: list[str]) -> Stats:
     row = rows.agg(F.count("*").alias("all"), *(f(f"n{k}").alias(f"{name}{k}") for k in range(len(props)) for name, f in (("c", F.count), ("s", F.sum)))).first()
     out = {}

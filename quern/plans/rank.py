@@ -47,15 +47,61 @@ def _by_prop(values: Mapping[str, float], props: list[str]) -> Column:
 MASK = 63
 
 
+#: from so many tokens of one length on, a word's beginning is looked up in a set
+SET = 11
+
+
 def answers(tokens: list[str], exact: bool, tolerance: int):
     """A test of words: whether any token is answered."""
-    return lambda word: reduce(lambda a, b: a | b, [matches(word, t, exact, tolerance) for t in tokens])
+
+    def test(word: Column) -> Column:
+        if exact:
+            return word.isin(tokens)
+        near = [within(F.lit(t), word, tolerance) for t in tokens if t] if tolerance else []
+        return reduce(lambda a, b: a | b, [*_begins(word, tokens), *near])
+
+    return test
+
+
+def _by_length(tokens: list[str]) -> dict[int, list[str]]:
+    out: dict[int, list[str]] = {}
+    for t in dict.fromkeys(tokens):
+        out.setdefault(len(t), []).append(t)
+    return out
+
+
+def _begins(word: Column, tokens: list[str]) -> list[Column]:
+    """Tests whether a word begins with any token. Few tokens stay comparisons that reach a scan."""
+    out = []
+    for n, some in _by_length(tokens).items():
+        out += [F.substring(word, 1, n).isin(some)] if len(some) >= SET and n else [matches(word, t, False, 0) for t in some]
+    return out
+
+
+def whole(tokens: list[str], exact: bool, tolerance: int):
+    """A test of the array of a document's words: whether every token is answered."""
+
+    def has(words: Column, t: str) -> Column:
+        return F.exists(words, lambda w: matches(w, t, exact, tolerance))
+
+    def have(words: Column, n: int, some: list[str]) -> Column:
+        begins = words if exact else F.transform(words, lambda w: F.substring(w, 1, n))
+        # a word answers one token of a length at most, so that short documents fail at once
+        return (F.size(words) >= len(some)) & (F.size(F.array_intersect(begins, F.array(*map(F.lit, some)))) == len(some))
+
+    def test(words: Column) -> Column:
+        out = []
+        for n, some in ({0: list(dict.fromkeys(tokens))} if exact else _by_length(tokens)).items():
+            out += [has(words, t) for t in some] if len(some) < SET or tolerance else [have(words, n, some)]
+        return reduce(lambda a, b: a & b, out)
+
+    return test
 
 
 def found(postings: DataFrame, props: list[str], tokens: list[str], exact: bool, tolerance: int) -> DataFrame:
     """Postings whose word answers a token; ``hits``: of how many tokens, ``bits0, bits1, ...``: of which, ``MASK`` in each."""
     tests = [matches(F.col("word"), t, exact, tolerance) for t in tokens]
-    rows = postings.filter(F.col("prop").isin(props) & reduce(lambda a, b: a | b, tests))
+    rows = postings.filter(F.col("prop").isin(props) & answers(tokens, exact, tolerance)(F.col("word")))
     hits = reduce(lambda a, b: a + b, [F.when(t, 1).otherwise(0) for t in tests])
     rows = rows.withColumn("hits", hits)
     for w, first in enumerate(range(0, len(tests), MASK)):
@@ -64,17 +110,20 @@ def found(postings: DataFrame, props: list[str], tokens: list[str], exact: bool,
     return rows
 
 
-def rank_bm25(postings: DataFrame, vocab: DataFrame | None, stats: Stats, props, tokens, *, exact, tolerance, boost, threshold, allowed: DataFrame | None, params: BM25Params, strict: bool) -> DataFrame:
+def rank_bm25(postings: DataFrame, vocab: DataFrame | None, stats: Stats, props, tokens, *, exact, tolerance, boost, threshold, allowed: DataFrame | None, params: BM25Params, strict: bool, complete: bool = False) -> DataFrame:
+    """``complete``: all ``postings`` are of documents with every token in one property."""
     check_boost(boost, props)
-    rows = found(postings, props, tokens, exact, tolerance)
+    rows = postings.filter(F.col("prop").isin(props) & answers(tokens, exact, tolerance)(F.col("word")))
     # document frequencies count all documents, whatever the filter; partial aggregation, then a small join
     df = rows.groupBy("prop", "word").agg(F.count("*").alias("df")) if vocab is None else vocab
+    # which tokens it answers is found once for each word; every word of ``rows`` is among them
+    words = found(df, props, tokens, exact, tolerance)
     if allowed is not None:
         rows = rows.join(allowed, "doc_ord", "left_semi")
-    rows = rows.join(df, ["prop", "word"])
+    rows = rows.join(words, ["prop", "word"], "left")
     one = bm25(F.col("tf"), F.col("df"), stats.documents, F.col("n_tokens"), _by_prop(stats.average, props), params)
     rows = rows.withColumn("s", one * _by_prop(boost, props) * F.col("hits"))
-    if threshold >= 1 or len(tokens) == 1:
+    if threshold >= 1 or len(tokens) == 1 or complete:
         return rows.groupBy("doc_ord").agg(F.sum("s").alias("score"))
     masks = [c for c in rows.columns if c.startswith("bits")]
     by_prop = rows.groupBy("doc_ord", "prop").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits"), *(F.bit_or(m).alias(m) for m in masks))

@@ -1,7 +1,8 @@
 """Snapshots of collections: a manifest beside Parquet or JSON tables.
 
 ``save`` writes documents and, if wanted, the index tables (partitioned by property and sorted by word, so that literal
-prefixes prune row groups). ``load`` reads the manifest, checks its version and attaches the tables; without index tables
+prefixes prune row groups). Postings are written first, in parts of bounded size however frequent their words; vocabulary and
+lengths come from what was written, so that texts are split once. ``load`` reads the manifest, checks its version and attaches the tables; without index tables
 they are derived again from the documents.
 """
 
@@ -62,20 +63,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 def save(c: Collection, path: str, format: Format | str = Format.PARQUET, tables: bool = True, mode: str = "error") -> None:
     format = Format(format)
-    own = None
-    if tables and c.text_paths:
-        own = c.tables or c.indexed(persist=False).tables
-    text = json.dumps(manifest(c, format, own is not None, own.stats if own else None))
+    manifest(c, format, False, None)  # what can't be described fails before anything is written
+    own = c.tables if tables else None
     try:
         c.docs.write.format(format.value).mode(mode).save(f"{path}/docs")
-        if own is not None:
-            own.postings.repartition("prop", F.substring("word", 1, 2)).sortWithinPartitions("word").write.format(format.value).partitionBy("prop").mode(mode).save(f"{path}/postings")
-            own.vocab.sortWithinPartitions("word").write.format(format.value).partitionBy("prop").mode(mode).save(f"{path}/vocab")
+        if tables and c.text_paths:
+            own = _save_tables(c, own, path, format, mode)
+        text = json.dumps(manifest(c, format, own is not None, own.stats if own else None))
         c.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/manifest")
     except AnalysisException as e:
         raise StorageError(f"can't write {path}: {e}", e) from e
 
 
+def _save_tables(c: Collection, own: Tables | None, path: str, format: Format, mode: str) -> Tables:
+    def write(rows: DataFrame, name: str) -> None:
+        # by property first: it is what the writer wants, which would else sort once more by the property alone
+        rows.sortWithinPartitions("prop", "word").write.format(format.value).partitionBy("prop").mode(mode).save(f"{path}/{name}")
+
+    props = c.text_paths
+    postings = own.postings if own else c.postings(props)
+    # Spark cuts and joins the parts of a rebalance to one size, so a frequent beginning of words makes more parts, not a larger one
+    write(postings.withColumn("begin", F.substring("word", 1, 2)).hint("rebalance", "prop", "begin").drop("begin"), "postings")
+    written = c.spark.read.format(format.value).schema(postings.schema).load(f"{path}/postings")
+    vocab = own.vocab if own and own.vocab is not None else index.vocabulary(written)
+    write(vocab, "vocab")
+    if own:
+        stats = own.stats
+    elif c.algorithm is Algorithm.BM25:
+        stats = index.saved_stats(c.docs, props, written, c.tokenizer, c.array_paths)
+    else:
+        stats = index.length_stats(c.docs, props, c.tokenizer, c.array_paths)
+    return Tables(written, vocab, stats)
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict:
     try:
         rows = spark.read.text(f"{path}/manifest", wholetext=True).collect()

@@ -27,6 +27,25 @@ def test_round_trip(spark, small, tmp_path, format, tables):
     assert {r["id"] for r in back.insert([{"title": "x"}]).docs.collect()} == {"a", "b", "0", "1"}
 
 
+@pytest.mark.parametrize("repeats", [True, False])
+def test_save_splits_texts_once(spark, tmp_path, monkeypatch, repeats):
+    rows = [{"id": str(k), "t": f"fox fox w{k % 7}", "u": f"fox b{k}"} for k in range(40)]
+    c = Collection.create(spark, {"t": "string", "u": "string"}, allow_duplicates=repeats).insert(rows)
+    want = c.indexed(persist=False).tables
+    gaps = Collection.create(spark, {"t": "string", "u": "string"}).insert([*rows, {"id": "x", "t": "fox"}])
+    average = gaps.indexed(persist=False).tables.stats.average
+    snapshots.save(gaps, str(tmp_path / "gaps"))
+    assert snapshots.load(spark, str(tmp_path / "gaps")).tables.stats.average == pytest.approx(average)
+    monkeypatch.setattr(snapshots.index, "length_stats", None)
+    snapshots.save(c, str(tmp_path / "s"))
+    back = snapshots.load(spark, str(tmp_path / "s")).tables
+    table = lambda df: sorted(tuple(r) for r in df.select("prop", "word", "df").collect())
+    assert back.stats == want.stats and table(back.vocab) == table(want.vocab)
+    for at in tmp_path.glob("s/postings/*/*.parquet"):
+        words = [r["word"] for r in spark.read.parquet(str(at)).select("word").collect()]
+        assert words == sorted(words)
+
+
 def test_bad_snapshots(spark, small, tmp_path):
     with pytest.raises(StorageError):
         snapshots.load(spark, str(tmp_path / "none"))
