@@ -234,20 +234,24 @@ class Collection:
         rank.check_boost(boost or {}, props)
         if not tokens or not props:
             return self.docs.select("doc_ord", F.lit(0.0).alias("score")).limit(0)
+        options = {}
         if self.tables is not None:
             postings, vocab, stats = self.tables.postings, self.tables.vocab, self.tables.stats
         else:
             # without an index the documents are read once, and only words that answer a token leave them
             vocab, test = None, rank.answers(tokens, exact, tolerance)
             if self.algorithm is Algorithm.BM25:
-                postings, stats = index.bm25_matches(self.docs, props, self.tokenizer, self.array_paths, test)
+                # at threshold 0 a document's row tells whether it has every token; postings of others aren't needed
+                options["complete"] = threshold <= 0 and len(tokens) > 1 and not self.strict_compat
+                whole = rank.whole(tokens, exact, tolerance) if options["complete"] else None
+                postings, vocab, stats = index.bm25_matches(self.docs, props, self.tokenizer, self.array_paths, test, whole)
             elif self.algorithm is Algorithm.QPS:
                 postings, stats = index.qps_postings(self.docs, props, self.tokenizer, self.array_paths, test), index.Stats(0, {})
             else:
                 postings, stats = index.pt15_postings(self.docs, props, self.tokenizer, self.array_paths, test), index.Stats(0, {})
         out = rank.rank(
             self.algorithm, postings, vocab, stats, props, tokens, exact=exact, tolerance=tolerance, boost=boost or {}, threshold=threshold,
-            allowed=None if allowed is None else allowed.select("doc_ord"), params=self.params, strict=self.strict_compat,
+            allowed=None if allowed is None else allowed.select("doc_ord"), params=self.params, strict=self.strict_compat, **options,
         )
         if exact and term:
             whole = [rf"\b{_quote(t)}\b" for t in term.split()]

@@ -96,24 +96,33 @@ class Stats:
     average: dict[str, float]
 
 
-def bm25_matches(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays: frozenset[str], test: Callable[[Column], Column]) -> tuple[DataFrame, Stats]:
-    """Postings of the words that pass ``test``, and the length statistics, from one reading of the documents.
+def bm25_matches(docs: DataFrame, props: list[str], tokenizer: Tokenizer, arrays: frozenset[str], test: Callable[[Column], Column], whole: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, Stats]:
+    """Postings of the words that pass ``test``, their ``prop, word, df``, and the length statistics, from one reading of the documents.
 
-    What is kept for both is a small row for each document: its lengths and its matching tokens.
+    What is kept for all is a small row for each document: its lengths and its matching tokens. With ``whole``, postings are only of
+    documents that have a property whose words pass it; frequencies and statistics are of all documents still.
     """
     rows = spread(docs.select("doc_ord", *(F.col(p).alias(f"p{k}") for k, p in enumerate(props))))
     tokens = [F.when(F.col(f"p{k}").isNotNull(), tokens_of(rows, f"p{k}", _renamed(tokenizer, p, f"p{k}"), p in arrays)).alias(f"t{k}") for k, p in enumerate(props)]
     rows = rows.select("doc_ord", *tokens)
-    rows = keep(rows.select("doc_ord", *(F.when(F.col(f"t{k}").isNotNull(), F.size(f"t{k}")).alias(f"n{k}") for k in range(len(props))), *(F.filter(f"t{k}", test).alias(f"m{k}") for k in range(len(props)))))
-    parts = []
+    rows = rows.select("doc_ord", *(F.when(F.col(f"t{k}").isNotNull(), F.size(f"t{k}")).alias(f"n{k}") for k in range(len(props))), *(F.filter(f"t{k}", test).alias(f"m{k}") for k in range(len(props))))
+    if whole is not None:
+        passed = reduce(lambda a, b: a | b, [F.coalesce(whole(F.col(f"m{k}")), F.lit(False)) for k in range(len(props))])
+        rows = rows.withColumn("whole", passed)
+    rows = keep(rows)
+    parts, words = [], []
     for k, p in enumerate(props):
         hits, n = rows.filter(F.size(f"m{k}") > 0), F.col(f"n{k}")
+        once = F.array_distinct(f"m{k}") if tokenizer.allow_duplicates or p in arrays else F.col(f"m{k}")
+        words.append(hits.select(F.lit(p).alias("prop"), F.explode(once).alias("word")))
+        if whole is not None:
+            hits = hits.filter("whole")
         if tokenizer.allow_duplicates or p in arrays:
             hits = hits.select("doc_ord", n.alias("n_tokens"), F.inline(_counted(F.col(f"m{k}"), n)))
         else:
             hits = hits.select("doc_ord", n.alias("n_tokens"), F.explode(f"m{k}").alias("word"), (F.lit(1.0) / n).alias("tf"))
         parts.append(hits.select(F.lit(p).alias("prop"), "word", "doc_ord", "tf", "n_tokens"))
-    return _union(parts), _stats(rows, props)
+    return _union(parts), _union(words).groupBy("prop", "word").agg(F.count("*").alias("df")), _stats(rows, props)
 
 
 def _renamed(tokenizer: Tokenizer, prop: str, name: str) -> Tokenizer:

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,3 +256,15 @@ def test_words_are_counted_within_the_row(spark):
 def test_text_is_split_once_for_postings(spark):
     plan = Collection.create(spark, {"t": "string"}).insert([{"t": "red fox"}]).postings(["t"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_threshold_zero_with_many_tokens_explodes_whole_documents_only(spark):
+    tokens = [a + b for a in "bcdfghjkl" for b in "aeiou"] + ["xyz", "q"]
+    full = " ".join(f"{t}{k}" for t in tokens for k in "12")
+    rows = [{"id": "all", "t": full, "u": "ba"}, {"id": "part", "t": full.replace("xyz", "z"), "u": "xyz1"}, {"id": "u", "t": None, "u": " ".join(tokens)}, {"id": "n", "t": "", "u": None}]
+    c = Collection.create(spark, {"t": "string", "u": "string"}).insert(rows)
+    for options in ({}, {"exact": True}):
+        got, want = ({r["doc_ord"]: round(r["score"], 9) for r in x.ranked(" ".join(tokens), threshold=0, **options).collect()} for x in (c, c.indexed()))
+        assert got == want != {}
+    plan = c.ranked(" ".join(tokens), threshold=0).select("doc_ord")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\bJoin (Inner|LeftOuter)", plan)
